@@ -20,5 +20,28 @@ def op5_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_two_pass_shards": op5_two_pass_shards}
+def _pii_columns(found: DataFrame) -> DataFrame:
+    from tidemill.llm.pii import KINDS, joined
+
+    spans = F.concat("base", "added")
+
+    def count(k: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)),
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+def op8_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents by the base patterns and by bootstrapped contexts."""
+    from tidemill.llm.pii import find_pii
+
+    return _pii_columns(find_pii(_documents(spark, sf_dir)))
+
+
+QUERIES = {"op5_two_pass_shards": op5_two_pass_shards, "op8_context_pii": op8_context_pii}
 ORACLES: dict[str, str] = {}
