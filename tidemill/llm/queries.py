@@ -10,6 +10,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to a content-addressed store and read back."""
+    import public_tokenizers
+
+    from tidemill.llm.token_store import stored_documents
+
+    return stored_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op5_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards by the two-pass shuffle; shard sizes in rows differ by one at most."""
     from tidemill.llm.shards import shuffled_shards
@@ -43,5 +52,5 @@ def op8_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii_columns(find_pii(_documents(spark, sf_dir)))
 
 
-QUERIES = {"op5_two_pass_shards": op5_two_pass_shards, "op8_context_pii": op8_context_pii}
+QUERIES = {"op1_token_store": op1_token_store, "op5_two_pass_shards": op5_two_pass_shards, "op8_context_pii": op8_context_pii}
 ORACLES: dict[str, str] = {}
