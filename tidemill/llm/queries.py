@@ -10,6 +10,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to a content-addressed store and read back."""
     import public_tokenizers
@@ -19,6 +23,15 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules for all documents."""
+    from tidemill.llm.quality_rules import judged
+
+    return judged(_documents(spark, sf_dir), _labels(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
+
+
 def op5_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards by the two-pass shuffle; shard sizes in rows differ by one at most."""
     from tidemill.llm.shards import shuffled_shards
@@ -52,5 +65,5 @@ def op8_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii_columns(find_pii(_documents(spark, sf_dir)))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op5_two_pass_shards": op5_two_pass_shards, "op8_context_pii": op8_context_pii}
+QUERIES = {"op1_token_store": op1_token_store, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op8_context_pii": op8_context_pii}
 ORACLES: dict[str, str] = {}
