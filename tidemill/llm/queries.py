@@ -65,5 +65,12 @@ def op8_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii_columns(find_pii(_documents(spark, sf_dir)))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op8_context_pii": op8_context_pii}
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the field over lines."""
+    from tidemill.llm.line_crf import scored
+
+    return scored(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
 ORACLES: dict[str, str] = {}
