@@ -72,5 +72,12 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by the recurrent network."""
+    from tidemill.llm.toxicity import held_out_scores
+
+    return held_out_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
 ORACLES: dict[str, str] = {}
