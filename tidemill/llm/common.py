@@ -7,6 +7,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,32 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_TO_LOWER)
 
 
+def word_column(texts: list[str | None], lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts (Arrow strings), each word's place among them, text after text, and their counts.
+
+    The same words as `words` gives, split and numbered by Arrow; with `lower`, A-Z are in lower case.
+    """
+    column = pa.array(texts, pa.large_string(), from_pandas=True).fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    coded = lists.flatten().dictionary_encode()
+    distinct, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    empty = pc.index(distinct, pa.scalar("", pa.large_string())).as_py()
+    if empty >= 0:  # white space at a text's end leaves an empty word
+        there = at != empty
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[there], minlength=len(counts))
+        at = at[there]
+        at -= at > empty
+        distinct = pa.concat_arrays([distinct[:empty], distinct[empty + 1 :]])
+    return distinct, at, counts
+
+
+def word_ids(texts: list[str | None], lower: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As `word_column`, with the distinct words as Python strings."""
+    distinct, at, counts = word_column(texts, lower)
+    return distinct.to_pylist(), at, counts
+
+
 def fold(doc_id: object, modulus: int) -> int:
     """crc32 of the id as text, modulo the number of folds; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % modulus

@@ -17,77 +17,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import scratch, slices, words, written
+from tidemill.llm.common import scratch, slices, word_column, written
 
 #: Chunks have 64 ids at least but for a document's last, 2048 at most, and some 512 on average.
 LEAST, MOST, AVERAGE, WINDOW = 64, 2048, 512, 16
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 _SEPARATOR = "☆"
+#: Letters up to U+00FF (composed as they are, with one lower case) and the marks behind them, one run each.
+_RUNS = "^(?P<base>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[.,;:!?#*$%&|<>]*)$"
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose normaliser and splitter never look across white space.
 
     For such a tokenizer (`word_bpe_49k.json` is one), a text's ids are its words' ids in order, so each distinct word
-    goes through the library once. New words go in together, with a separator of one known id between them.
+    goes through the library once. It splits letters from marks, so letters with marks behind them are looked up as
+    two runs; runs go in together, and each one's ids end with the one id that ends a word. All other words go in with
+    a separator of one known id between them.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        separator = self._encode([_SEPARATOR])[0]
+        (separator,) = self._encode([_SEPARATOR])
         assert len(separator) == 1, "the separator has to be one token"
         self.separator = separator[0]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self._forget()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {"\n": 0}  # no word is a line end; it stands for the document's end
-        self.parts, self.lengths = [np.array([self.end_id])], [np.array([1])]
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if _SEPARATOR not in w]
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for group, ids in zip(groups, self._encode([f" {_SEPARATOR} ".join(g) for g in groups])):
+        self.places: dict[str, int] = {"": 0}
+        self.flat, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.places.update(zip(keys, range(len(self.places), len(self.places) + len(keys))))
+        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+
+    def _learn(self, new: list[str], whole: bool) -> None:
+        """Puts the ids of new words into the table. whole: the splitter keeps each in one run, so one id ends each."""
+        size = 2000 if whole else 1000
+        again: list[str] = []
+        groups = [g for i in range(0, len(new), size) if (g := [w for w in new[i : i + size] if _SEPARATOR not in w])]
+        for group, ids in zip(groups, self._encode([(" " if whole else f" {_SEPARATOR} ").join(g) for g in groups])):
             ids = np.array(ids, dtype=np.int64)
-            cuts = np.flatnonzero(ids == self.separator)
-            self.lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-            self.parts.append(np.delete(ids, cuts))
-            self.places.update(zip(group, range(len(self.places), len(self.places) + len(group))))
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1 if whole else np.append(np.flatnonzero(ids == self.separator), len(ids))
+            if len(cuts) != len(group):
+                again += group
+            elif whole:
+                self._add(group, ids, np.diff(cuts, prepend=0))
+            else:
+                self._add(group, np.delete(ids, cuts[:-1]), np.diff(cuts, prepend=-1) - 1)
         for word, ids in zip(odd := [w for w in new if _SEPARATOR in w], self._encode(odd)):
-            self.lengths.append(np.array([len(ids)]))
-            self.parts.append(np.array(ids, dtype=np.int64))
-            self.places[word] = len(self.places)
+            self._add([word], np.array(ids, dtype=np.int64), np.array([len(ids)]))
+        if again:
+            self._learn(again, whole=False)
+
+    def _places(self, column: pa.Array, whole: bool) -> np.ndarray:
+        """The table's places of all words of a column; new ones are learnt."""
+        coded = column.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if new := [w for w in distinct if w not in self.places]:
+            self._learn(new, whole)
+        place = np.fromiter(map(self.places.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        return place[coded.indices.to_numpy(zero_copy_only=False)]
+
+    @staticmethod
+    def _gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs number `at` of a ragged array, one after the other, and the length of each."""
+        n = sizes[at]
+        ends = np.cumsum(n)
+        starts = (np.cumsum(sizes) - sizes)[at]
+        return flat[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
         if len(self.places) > REMEMBERED:
             self._forget()
-        stream, counts = [], []
-        for text in texts:
-            own = words(text)
-            counts.append(len(own) + 1)
-            stream += own
-            stream.append("\n")
-        if new := set(stream).difference(self.places):
-            self._learn(sorted(new))
-        self.parts, self.lengths = [np.concatenate(self.parts)], [np.concatenate(self.lengths)]
-        at = np.fromiter(map(self.places.__getitem__, stream), dtype=np.int64, count=len(stream))
-        flat, lengths = self.parts[0], self.lengths[0]
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum(counts) - 1
-        return ids, np.diff(ends[last], prepend=0)
+        column, at, counts = word_column(texts)
+        parts = pc.extract_regex(column, _RUNS)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        base, tail = (parts.filter(plain).field(k) for k in ("base", "tail"))
+        first, second = np.zeros(len(column), dtype=np.int64), np.zeros(len(column), dtype=np.int64)
+        first[plain] = self._places(pc.utf8_lower(base), whole=True)
+        second[plain] = self._places(tail, whole=True)
+        first[~plain] = self._places(column.filter(pa.array(~plain)), whole=False)
+        flat, sizes = self._gather(self.flat, self.sizes, np.stack([first, second], axis=1).reshape(-1))
+        ids, n = self._gather(flat, sizes[0::2] + sizes[1::2], at)
+        before = np.concatenate([[0], np.cumsum(n)])
+        ends = before[np.cumsum(counts)]
+        return np.insert(ids, ends, self.end_id), np.diff(ends, prepend=0) + 1
 
 
 def _gear(size: int = 1 << 16) -> np.ndarray:
@@ -264,13 +294,18 @@ def _shift(values: np.ndarray, *tables: np.ndarray) -> np.ndarray:
     return values
 
 
-def joined_crc32(crcs: np.ndarray, lengths: np.ndarray, tables: np.ndarray) -> int:
-    """crc32 of pieces joined, from their crc32s and lengths in bytes: each crc moves past the bytes behind it."""
-    behind = lengths.sum() - np.cumsum(lengths)
+def joined_crc32(crcs: np.ndarray, lengths: np.ndarray, starts: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """crc32 of each document from the crc32s and byte lengths of its pieces: each crc moves past the bytes behind it."""
+    if not len(crcs):
+        return np.zeros(0, dtype=np.int64)
+    ends = np.cumsum(lengths)
+    per = np.diff(np.append(starts, len(crcs)))
+    behind = np.repeat(ends[np.append(starts[1:], len(crcs)) - 1], per) - ends
     values = crcs.astype(np.uint32)
-    for k in range(int(behind.max()).bit_length() if len(behind) else 0):
-        values = np.where(behind >> k & 1, _shift(values, tables[k]), values)
-    return int(np.bitwise_xor.reduce(values)) if len(values) else 0
+    for k in range(int(behind.max()).bit_length()):
+        at = np.flatnonzero(behind >> k & 1)
+        values[at] = _shift(values[at], tables[k])
+    return np.bitwise_xor.reduceat(values, starts).astype(np.int64)
 
 
 def verified_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -284,18 +319,20 @@ def verified_documents(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.parquet(f"{path}/chunks").mapInPandas(_verified(width), "digest binary, n int, crc long")
     rows = _bound(spark, path, chunks)
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _shift_tables()
-        for frame in frames:
-            crcs = []
-            for digests, root, n_tokens, held in zip(frame["digests"], frame["root"], frame["n_tokens"], frame["chunks"]):
-                n = np.array([c["n"] for c in held], dtype=np.int64)
-                if merkle_root([bytes(d) for d in digests]) != bytes(root) or n.sum() != n_tokens:
+        for batch in batches:
+            held, n_tokens = batch["chunks"], batch["n_tokens"].to_numpy()
+            starts, per = held.offsets.to_numpy()[:-1] - held.offsets[0].as_py(), np.diff(held.offsets.to_numpy())
+            n, crc = (held.flatten().field(k).to_numpy().astype(np.int64) for k in ("n", "crc"))
+            if len(per) and (np.add.reduceat(n, starts) != n_tokens).any():
+                raise ValueError("a document's chunks don't hold its number of ids")
+            for digests, root in zip(batch["digests"].to_pylist(), batch["root"].to_pylist()):
+                if merkle_root(digests) != root:
                     raise ValueError("a document's recipe doesn't match its root")
-                crcs.append(joined_crc32(np.array([c["crc"] for c in held], dtype=np.int64), 4 * n, tables))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "start": frame["start"], "n_tokens": frame["n_tokens"], "ids_crc32": crcs, "n_chunks": [len(c) for c in frame["chunks"]]})
+            yield pa.record_batch({"doc_id": batch["doc_id"], "start": batch["start"], "n_tokens": batch["n_tokens"], "ids_crc32": joined_crc32(crc, 4 * n, starts, tables), "n_chunks": per.astype(np.int32)})
 
-    return rows.mapInPandas(check, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int")
+    return rows.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
