@@ -79,5 +79,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the 4-word-shingle Jaccard join at 0.85 over all documents."""
+    from tidemill.llm.ngram_join import ngram_components
+
+    return ngram_components(_documents(spark, sf_dir), width=4, num=85, den=100)
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
 ORACLES: dict[str, str] = {}
