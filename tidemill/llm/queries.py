@@ -23,6 +23,14 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item of which half or more is tiled in the document."""
+    from tidemill.llm.decontaminate import leaks
+
+    found = leaks(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*").withColumn("coverage", F.col("matched") / F.col("words"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules for all documents."""
     from tidemill.llm.quality_rules import judged
@@ -86,5 +94,5 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir), width=4, num=85, den=100)
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
+QUERIES = {"op1_token_store": op1_token_store, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
 ORACLES: dict[str, str] = {}
