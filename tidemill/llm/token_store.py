@@ -27,7 +27,7 @@ from tidemill.llm.common import scratch, slices, word_column, written
 #: Chunks have 64 ids at least but for a document's last, 2048 at most, and some 512 on average.
 LEAST, MOST, AVERAGE, WINDOW = 64, 2048, 512, 16
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 _SEPARATOR = "☆"
 #: Letters up to U+00FF (composed as they are, with one lower case) and the marks behind them, one run each.
 _RUNS = "^(?P<base>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[.,;:!?#*$%&|<>]*)$"
@@ -59,11 +59,11 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {"": 0}
-        self.flat, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.flat, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.places.update(zip(keys, range(len(self.places), len(self.places) + len(keys))))
-        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+        self.flat, self.sizes = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.sizes, sizes])
 
     def _learn(self, new: list[str], whole: bool) -> None:
         """Puts the ids of new words into the table. whole: the splitter keeps each in one run, so one id ends each."""
@@ -179,7 +179,7 @@ def _encoded(path: str, end_id: int):
         gear = _gear()
         for frame in frames:
             texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 2_000_000):
                 ids, counts = encoder.encode(texts[a:b])
                 starts = np.cumsum(counts) - counts
                 packed = ids.astype(encoder.dtype)
