@@ -23,6 +23,23 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def _piece_columns(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    from tidemill.llm.pieces import decoded, sampled_pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = sampled_pieces(docs, model, k=2)
+    return found.select(
+        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.crc32(decoded(F.col("ids"), model).cast("binary")).alias("decoded_crc32"), "log_probability", "inclusion"
+    )
+
+
+def op2_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, and the crc32 of what each decodes to."""
+    return _piece_columns(_documents(spark, sf_dir))
+
+
 def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and benchmark item of which half or more is tiled in the document."""
     from tidemill.llm.decontaminate import leaks
@@ -94,5 +111,5 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir), width=4, num=85, den=100)
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
+QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
 ORACLES: dict[str, str] = {}
