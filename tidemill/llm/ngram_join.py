@@ -25,54 +25,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import slices, word_column, written
+from tidemill.llm.common import MIX_A, MIX_B, mixed, slices, word_column, word_hashes, written
 from tidemill.llm.components import connected_components
 
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 #: Documents on each side of a block of the product, and n-grams in one step of it.
 BLOCK, STEP = 768, 2048
 #: Ways to cut a set into parts besides the first.
 LEVELS = 6
-_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _A
-        x = (x ^ (x >> np.uint64(27))) * _B
-        return x ^ (x >> np.uint64(31))
-
-
-def _word_hashes(column: pa.Array) -> np.ndarray:
-    """64-bit hashes of the words, from two sums over their bytes' places."""
-    out = np.zeros(len(column), dtype=np.uint64)
-    if not len(column):
-        return out
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    starts = (offsets[:-1] - offsets[0]).astype(np.int64)
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, np.diff(offsets))
-    with np.errstate(over="ignore"):
-        terms = _mix(data.astype(np.uint64) + np.uint64(257) * (place.astype(np.uint64) + np.uint64(1)))
-        return _mix(np.add.reduceat(terms, starts) + np.diff(offsets).astype(np.uint64) * _A)
+_A, _B = MIX_A, MIX_B
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-grams; with fewer words the whole sequence is one; without words, none."""
     column, at, counts = word_column(texts, lower=True)
-    h = _word_hashes(column)[at]
+    h = word_hashes(column)[at]
     out, ends = [], np.cumsum(counts)
     with np.errstate(over="ignore"):
         grams = np.zeros(max(len(h) - width + 1, 0), dtype=np.uint64)
         for k in range(width):
-            grams = _mix(grams + h[k : k + len(grams)] * np.uint64(2 * k + 3))
+            grams = mixed(grams + h[k : k + len(grams)] * np.uint64(2 * k + 3))
         for end, n in zip(ends.tolist(), counts.tolist()):
             if n >= width:
                 out.append(np.unique(grams[end - n : end - width + 1]))
             elif n:
                 short = np.array([n], dtype=np.uint64)
                 for k in range(n):
-                    short = _mix(short * _B + h[end - n + k])
+                    short = mixed(short * _B + h[end - n + k])
                 out.append(short)
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
@@ -119,19 +98,19 @@ class Scheme:
                 continue  # no difference is allowed here, and equal sets are one already
             for level in range(LEVELS + 1):
                 members = shingles if level else rare
-                part = ((_mix(members ^ np.uint64(0x5851F42D4C957F2D + level)) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+                part = ((mixed(members ^ np.uint64(0x5851F42D4C957F2D + level)) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
                 size = np.bincount(part, minlength=k)
                 order = np.argsort(part, kind="stable")
                 sums = np.zeros(k, dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     if len(part):
                         some = size > 0
-                        sums[some] = np.add.reduceat(_mix(members + _A)[order], (np.cumsum(size) - size)[some])
+                        sums[some] = np.add.reduceat(mixed(members + _A)[order], (np.cumsum(size) - size)[some])
                     tags = np.uint64(j * (LEVELS + 1) + level) * _A + np.arange(k, dtype=np.uint64) * _B
                     strong = size >= 2
                     enough = (~strong).sum() < spare
                     keep = np.ones(k, dtype=bool) if level == LEVELS and not enough else strong
-                    out.append(_mix(_mix(sums + size.astype(np.uint64)) + _mix(tags))[keep])
+                    out.append(mixed(mixed(sums + size.astype(np.uint64)) + mixed(tags))[keep])
                 if enough:
                     break
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
@@ -243,7 +222,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         total = reduce(np.add, (np.frombuffer(x, dtype=np.uint8 if len(x) == 1 << 16 else np.uint32).astype(np.uint32) for x in frame["counts"]))
         return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
 
-    sketches = seen.where(F.col("block").isNotNull()).select("block", "counts", (F.col("part") % 64).alias("salt"))
+    sketches = seen.where(F.col("block").isNotNull()).select("block", "counts", (F.col("part") % 16).alias("salt"))
     sketches = sketches.groupBy("block", "salt").applyInPandas(added, "block int, counts binary")
     sketches = sketches.groupBy("block").applyInPandas(added, "block int, counts binary").collect()  # at most 2**(SKETCH_BITS - 16) rows
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
