@@ -60,6 +60,39 @@ def word_ids(texts: list[str | None], lower: bool = False) -> tuple[list[str], n
     return distinct.to_pylist(), at, counts
 
 
+MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, well mixed (the finaliser of splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * MIX_A
+        x = (x ^ (x >> np.uint64(27))) * MIX_B
+        return x ^ (x >> np.uint64(31))
+
+
+def uniform(key: np.ndarray, counter: np.ndarray | int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on key and counter alone."""
+    with np.errstate(over="ignore"):
+        return ((mixed(key + mixed(np.asarray(counter).astype(np.uint64) + MIX_B)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def word_hashes(column: pa.Array) -> np.ndarray:
+    """64-bit hashes of Arrow strings (large_string), from a sum over their bytes with their places."""
+    out = np.zeros(len(column), dtype=np.uint64)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+    sizes = np.diff(offsets)
+    some = np.flatnonzero(sizes)
+    with np.errstate(over="ignore"):
+        if len(some):
+            data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+            starts = offsets[:-1] - offsets[0]
+            place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, sizes)
+            terms = mixed(data.astype(np.uint64) + np.uint64(257) * (place.astype(np.uint64) + np.uint64(1)))
+            out[some] = np.add.reduceat(terms, starts[some])
+        return mixed(out + sizes.astype(np.uint64) * MIX_A)
+
+
 def fold(doc_id: object, modulus: int) -> int:
     """crc32 of the id as text, modulo the number of folds; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % modulus

@@ -23,24 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import slices
+from tidemill.llm.common import MIX_A, MIX_B, mixed, slices, uniform
 
 _SPACE, _CUT = "▁", "\x1e"
 _OUTSIDE = 0x10FFFE  # stands for a U+2581 of the text itself, which no piece holds
-_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _A
-        x = (x ^ (x >> np.uint64(27))) * _B
-        return x ^ (x >> np.uint64(31))
-
-
-def _uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) that depend on key and counter alone."""
-    with np.errstate(over="ignore"):
-        return ((_mix(key + _mix(counter.astype(np.uint64) + _B)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+_A, _B = MIX_A, MIX_B
 
 
 class Vocabulary:
@@ -189,7 +176,7 @@ class Lattices:
         node, log = self.last[which].copy(), np.zeros(len(which))
         active, step, taken = np.arange(len(which)), 0, []
         while len(active):
-            u = _uniform(key[active], counter[active] * np.uint64(1 << 20) + np.uint64(step))
+            u = uniform(key[active], counter[active] * np.uint64(1 << 20) + np.uint64(step))
             edge = self.head[node[active]]
             on = np.flatnonzero(self.ladder[edge] < u)
             while len(on):
@@ -237,7 +224,7 @@ class Lattices:
             if not free.sum() > 0:
                 return None, 0.0
             with np.errstate(over="ignore"):
-                u = _uniform(np.array([key], dtype=np.uint64) + np.uint64(turn) * _A, np.array([step + 1]))[0]
+                u = uniform(np.array([key], dtype=np.uint64) + np.uint64(turn) * _A, np.array([step + 1]))[0]
             edge = int(edges[min(np.searchsorted(np.cumsum(free), u * free.sum()), len(edges) - 1)])
             path.append(edge)
             live = [bar for bar in live if bar[step] == edge]
@@ -265,7 +252,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     distinct, at, counts = segments(texts)
     lattices = Lattices(vocabulary, distinct)
     first, none = np.cumsum(counts) - counts, np.zeros(0, dtype=np.int64)
-    heaps = [[_Node(float(np.log(-np.log(u))), 0, none, 0.0, {})] for u in _uniform(keys, np.zeros(len(keys)))]
+    heaps = [[_Node(float(np.log(-np.log(u))), 0, none, 0.0, {})] for u in uniform(keys, np.zeros(len(keys)))]
     done: list[list[tuple[np.ndarray, float]]] = [[] for _ in texts]
     for turn in range(1, k + 1):
         nodes = [(d, heapq.heappop(heap)) for d, heap in enumerate(heaps) if heap]
@@ -292,7 +279,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
             rest = -np.expm1(logs)  # of each segment's probability, what this path leaves
             rest[0] -= sum(map(np.exp, node.barred.values()))
             mass = before[:-1] + np.log(np.maximum(rest, 1e-300))
-            noise = -np.log(-np.log(_uniform(np.repeat(keys[d : d + 1], len(mass)), (np.arange(node.t, node.t + len(mass)) * (k + 1) + turn) + (1 << 40))))
+            noise = -np.log(-np.log(uniform(np.repeat(keys[d : d + 1], len(mass)), (np.arange(node.t, node.t + len(mass)) * (k + 1) + turn) + (1 << 40))))
             value = np.where(rest < 1e-12, -np.inf, -np.logaddexp(node.cost, -(mass + noise)))  # at most this node's own
             for i in np.argsort(-value, kind="stable")[: k - turn + 1].tolist():
                 if np.isfinite(value[i]):

@@ -111,5 +111,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir), width=4, num=85, den=100)
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf}
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the hierarchical Pitman-Yor model, beside add-0.1 unigram scores."""
+    from tidemill.llm.pitman_yor import scored
+
+    return scored(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf, "op10_pitman_yor": op10_pitman_yor}
 ORACLES: dict[str, str] = {}
