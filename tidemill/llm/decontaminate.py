@@ -154,15 +154,15 @@ def _finder(block: Broadcast):
     return find
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least: int = 5, coverage: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
-    """All rows and columns of docs, and `leaks`: array of item_id, matched and all words of the item, tiles.
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least: int = 5, coverage: float = 0.5, block_chars: int = 8_000_000, leak_col: str = "leaks") -> DataFrame:
+    """All rows and columns of docs, and `leak_col`: array of item_id, matched and all words of the item, tiles.
 
     An item leaks into a document if tiles of at least `least` words cover `coverage` of its words or more. The benchmark is
     a stated query set: it meets the documents in blocks of about `block_chars` characters, each sent to all executors.
     Items with a null id or text, and those of fewer than `least` words, match nothing; null and empty documents hold
-    nothing; an empty benchmark gives empty arrays. docs must not have a column named leaks.
+    nothing; an empty benchmark gives empty arrays. A column of the name `leak_col` gives way.
     """
     found: list[Column] = [F.array().cast(f"array<{LEAK}>")]
     for items in _blocks(benchmark, item_id_col, item_text_col, block_chars):
         found.append(_finder(docs.sparkSession.sparkContext.broadcast(Passages(items, least, coverage)))(F.col(text_col)))
-    return docs.withColumn("leaks", F.concat(*found))
+    return docs.withColumn(leak_col, F.concat(*found))

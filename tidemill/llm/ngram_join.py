@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import MIX_A, MIX_B, mixed, slices, word_column, word_hashes, written
@@ -194,10 +194,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts in lower case (A-Z) give word n-grams; two sets link at num/den Jaccard similarity or more. Null texts and texts
     without words have empty sets and link with nothing: component_id is their own id. Fewer than `width` words are one
     n-gram. Equal sets (repeated rows, copies) are one set with many ids from the first step on. Null ids stay, and don't
-    count as smallest. 64-bit hashes stand for n-grams and sets. Other columns are not read.
+    count as smallest. Ids may be of any integer type (returned as long) or strings. 64-bit hashes stand for n-grams and sets. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kind = "string" if docs.schema[id_col].dataType.typeName() == "string" else "long"
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).alias("text"))
 
     def first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch, part = np.zeros(1 << SKETCH_BITS, dtype=np.int64), 0
@@ -209,12 +210,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                     ids.append(_set_id(s))
                     ns.append(len(s))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "set_id": np.array(ids, dtype=np.int64), "n": ns, "part": part, "block": None, "counts": None})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64") if kind == "long" else frame["doc_id"], "set_id": np.array(ids, dtype=np.int64), "n": ns, "part": part, "block": None, "counts": None})
         blocks = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << 16)
         full = np.flatnonzero(blocks.any(axis=1))
         yield pd.DataFrame({"doc_id": None, "set_id": None, "n": None, "part": part, "block": full, "counts": [blocks[k].tobytes() for k in full]})
 
-    fields = "doc_id long, set_id long, n long, part int, block int, counts binary"
+    fields = f"doc_id {kind}, set_id long, n long, part int, block int, counts binary"
     seen = written(rows.withColumn("part", F.spark_partition_id()).mapInPandas(first_pass, fields), "ngram-sets")
     sets = seen.where(F.col("set_id").isNotNull()).select("doc_id", "set_id", F.col("n").alias("n_shingles"))
 
@@ -303,3 +304,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = filled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     alone = labelled.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.join(least, "label").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows and columns of docs, one row of each component of `ngram_components`: that of the smallest id.
+
+    Nulls come after all ids, and rows of one id are told apart by their text; of rows that agree in both, one stays. Rows
+    without words are linked with nothing and stay. Only keys of kept rows meet the documents again, in one join.
+    """
+    number = F.lpad((F.col(id_col).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    key = F.concat(F.coalesce(number, F.lit("~")), F.lit("-"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")))
+    found = ngram_components(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", width, num, den)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row")).join(kept, "key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return rows.withColumn("place", first).where("place = 1").select("row.*")

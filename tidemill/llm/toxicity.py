@@ -249,12 +249,12 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 128, ra
     return net
 
 
-def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | None = 0, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1500, sample_chars: int = 8_000) -> DataFrame:
-    """All columns of docs, then toxicity: the score (0 to 1) of each row's whole text.
+def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | None = 0, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1500, sample_chars: int = 8_000, score_col: str = "toxicity") -> DataFrame:
+    """All columns of docs, and `score_col`: the score (0 to 1) of each row's whole text.
 
     The network learns from labelled documents outside the held-out fold, at most `per_class` of each class by seeded
     hash, with texts up to `sample_chars`; `labels` needs doc_id and toxic. Null texts count as empty: one window with
-    no words. Null ids and repeated rows stay. docs must not have a column named toxicity.
+    no words. Null ids and repeated rows stay. A column of that name gives way.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = chosen_labels(labels, "toxic", per_class, folds, held_out)
@@ -266,7 +266,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | N
         texts = [t if isinstance(t, str) else "" for t in texts]
         return pd.Series(np.concatenate([net.value.score(texts[a:b]) for a, b in slices(texts, 1_500_000)]) if texts else [], dtype=float)
 
-    return docs.withColumn("toxicity", toxicity(text_col))
+    return docs.withColumn(score_col, toxicity(text_col))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
