@@ -1,10 +1,36 @@
-"""Reading the tables of a data folder."""
+"""Reading the tables of a data folder, and round trips through other file formats."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table, by any path that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; a temporary one only where that isn't set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def through(df: DataFrame, kind: str, **options: str) -> DataFrame:
+    """The rows, written in a format and read again with the same schema: never inferred, so nothing is read twice."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.format(kind).options(**options).save(path)
+    return df.sparkSession.read.format(kind).schema(df.schema).options(**options).load(path)
+
+
+def partitioned(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows, written in a folder for each value of the columns; filters on them then skip whole folders."""
+    path = shared_folder(df.sparkSession, "partitioned")
+    df.write.partitionBy(*columns).parquet(path)
+    return df.sparkSession.read.parquet(path)
