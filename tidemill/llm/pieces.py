@@ -332,7 +332,7 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_co
         vocabulary = vocabulary_of(model)
         for batch in batches:
             texts, keys, ids = batch["text"].to_pylist(), batch["row_key"].to_numpy().view(np.uint64), batch["doc_id"]
-            for a, b in slices(texts, 1_500_000):
+            for a, b in slices(texts, 300_000):
                 found = list(sample_texts(vocabulary, texts[a:b], keys[a:b], k))
                 offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in found])])
                 yield pa.record_batch({
