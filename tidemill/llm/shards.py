@@ -43,7 +43,7 @@ def shuffled_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     record = F.struct("doc_id", "text", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     piles = (
         rows.withColumn("bucket", bucket)
-        .repartition(n_buckets, "bucket")
+        .repartitionById(n_buckets, "bucket")
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list(record)).alias("pile"))
         .sortWithinPartitions("bucket")
