@@ -94,7 +94,7 @@ def _contexts(left: Column) -> Column:
     return F.filter(F.array(F.when(F.length(touching) >= 3, F.concat(F.lit("="), touching)), F.when(two != "", F.regexp_replace(two, r"\s+", " "))), lambda x: x.isNotNull())
 
 
-def learned_spans(base: DataFrame, rounds: int = 2, support: int = 3, confidence: float = 0.75) -> DataFrame:
+def learned_spans(base: DataFrame, rounds: int = 2, support: int = 3, confidence: float = 0.5) -> DataFrame:
     """text_key, added: spans (kind 4, start, end) that high-confidence contexts discover; only texts that have any.
 
     base: the table of `base_spans`. Seeds are the values that base patterns found. A bipartite graph joins each context
