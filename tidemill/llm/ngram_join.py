@@ -1,11 +1,12 @@
 """Exact Jaccard self-join on word n-grams, and the components of its links.
 
-Candidates: a set of n-grams is cut by hash ranges into parts. Two sets of sizes a and b that reach the similarity
-differ in at most D = (a + b) * (1 - s) / (1 + s) n-grams, so of k parts at least k - D are alike. Sets of like sizes
-share a scheme of k parts, each part gives a signature, and sets with a common signature belong to one candidate group.
-N-grams that a counting sketch of all texts calls frequent are left out of the signatures (on both sides, which can only
-shrink the difference), so a passage that many texts share doesn't put them together; and so are parts of one n-gram or
-none: a set with too many of them is cut in another way as well.
+Candidates: the n-grams of a set lie in the order of their hashes, and each run of w neighbours is a window. If a set of n
+n-grams reaches similarity s with another, at most x <= n * (1 - s) - s * y of its n-grams are not in the other, where y of
+the other's are not in it; the first spoil w windows each, the others w - 1, so at most w * n * (1 - s) windows are not
+the other's. Hence the lowest w * n * (1 - s) + 1 windows, by another hash, hold one that both sets have there: they are
+the set's signatures, and sets with a common signature belong to one candidate group. N-grams that a counting sketch of
+all texts calls frequent are left out of the order (on both sides, which can only shrink the difference), so a passage
+that many texts share doesn't put them together; sets with too few rare ones have signatures of all n-grams as well.
 
 Verification: each candidate group is a product of its sparse document by n-gram matrix with its own transpose, in blocks
 of documents and of n-grams. Overlap counts add up block by block, and pairs that can't reach the bound which their
@@ -25,15 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import MIX_A, MIX_B, mixed, slices, word_column, word_hashes, written
+from tidemill.llm.common import MIX_B, mixed, slices, word_column, word_hashes, written
 from tidemill.llm.components import connected_components
 
 SKETCH_BITS = 20
 #: Documents on each side of a block of the product, and n-grams in one step of it.
 BLOCK, STEP = 768, 2048
-#: Ways to cut a set into parts besides the first.
-LEVELS = 6
-_A, _B = MIX_A, MIX_B
+#: Neighbours in a window: with more, fewer sets meet by chance, and more signatures are needed.
+WINDOW = 3
+_B = MIX_B
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -62,58 +63,24 @@ def _set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-class Scheme:
-    """Size classes and parts for a similarity of num/den."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.bounds = num, den, [1]
-
-    def size_class(self, n: int) -> int:
-        while self.bounds[-1] <= n:
-            self.bounds.append(-(-self.bounds[-1] * self.den // self.num) if self.bounds[-1] * self.den % self.num else max(self.bounds[-1] + 1, self.bounds[-1] * self.den // self.num))
-        return int(np.searchsorted(self.bounds, n, side="right")) - 1
-
-    def parts(self, j: int) -> tuple[int, int]:
-        """Parts of scheme j, which holds the sizes of classes j and j + 1, and by how many they exceed the differences."""
-        while len(self.bounds) < j + 3:
-            self.size_class(self.bounds[-1])
-        largest = self.bounds[j + 2] - 1
-        differ = 2 * largest * (self.den - self.num) // (self.den + self.num)
-        spare = 1 + differ // 4
-        return differ + spare, spare
-
-    def signatures(self, shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """All signatures of a set.
-
-        Level 0 cuts its rare n-grams into parts, levels 1 and on cut all of them, each level anew. A set goes on to the next
-        level while so many parts have one n-gram or none that its alike parts could all be such; at the last level those
-        parts count too. Of two sets, the one that stops first has an alike part of two n-grams or more at its last level.
-        """
-        own = self.size_class(len(shingles))
-        rare = shingles[~frequent[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]]
-        out = []
-        for j in (own, own - 1) if own else (own,):
-            k, spare = self.parts(j)
-            if k == spare:
-                continue  # no difference is allowed here, and equal sets are one already
-            for level in range(LEVELS + 1):
-                members = shingles if level else rare
-                part = ((mixed(members ^ np.uint64(0x5851F42D4C957F2D + level)) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-                size = np.bincount(part, minlength=k)
-                order = np.argsort(part, kind="stable")
-                sums = np.zeros(k, dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    if len(part):
-                        some = size > 0
-                        sums[some] = np.add.reduceat(mixed(members + _A)[order], (np.cumsum(size) - size)[some])
-                    tags = np.uint64(j * (LEVELS + 1) + level) * _A + np.arange(k, dtype=np.uint64) * _B
-                    strong = size >= 2
-                    enough = (~strong).sum() < spare
-                    keep = np.ones(k, dtype=bool) if level == LEVELS and not enough else strong
-                    out.append(mixed(mixed(sums + size.astype(np.uint64)) + mixed(tags))[keep])
-                if enough:
-                    break
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+    """All signatures of a set (sorted hashes) for a similarity of num/den.
+
+    Level 0 takes windows of WINDOW neighbours among the rare n-grams, level 1 among all, level 2 all single n-grams. A set
+    goes on to the next level while it has no more windows than could all differ. Of two sets, the one that stops first
+    shares a window with the other among the lowest ones of that level.
+    """
+    n, out = len(shingles), []
+    rare = shingles[~frequent[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]]
+    for level, (members, width) in enumerate(((rare, WINDOW), (shingles, WINDOW), (shingles, 1))):
+        h = np.full(max(len(members) - width + 1, 0), np.uint64(level))
+        for k in range(width):
+            h = mixed(h + members[k : k + len(h)] * np.uint64(2 * k + 3))
+        most = width * n * (den - num) // den + 1
+        out.append(np.sort(h)[:most])
+        if len(h) >= most:
+            break
+    return np.concatenate(out)
 
 
 def overlapping_pairs(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -232,11 +199,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frequent = spark.sparkContext.broadcast(counts >= max(256, 8 * counts.mean()))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(num, den)
         for batch in batches:
             texts = batch["text"].to_pylist()
             for a, b in slices(texts, 2_000_000):
-                own = [(_set_id(s), scheme.signatures(s, frequent.value)) for s in shingle_sets(texts[a:b], width) if len(s)]
+                own = [(_set_id(s), signatures(s, frequent.value, num, den)) for s in shingle_sets(texts[a:b], width) if len(s)]
                 own = list({k: v for k, v in own}.items())
                 n = np.array([len(v) for _, v in own], dtype=np.int64)
                 values = np.concatenate([np.zeros(0, dtype=np.uint64), *(v for _, v in own)])
