@@ -353,7 +353,13 @@ def decoded(ids: Column, model: str) -> Column:
     def run(column: pa.Array) -> pa.Array:
         vocabulary = vocabulary_of(model)
         counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        texts = pa.array(decode_ids(vocabulary, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts), pa.string())
+        flat, ends, texts, row = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts), [], 0
+        while row < len(counts):  # some 200,000 ids at a time
+            before = int(ends[row] - counts[row])
+            until = max(row + 1, int(np.searchsorted(ends, before + 200_000, side="right")))
+            texts += decode_ids(vocabulary, flat[before : ends[until - 1]].astype(np.int64), counts[row:until])
+            row = until
+        texts = pa.array(texts, pa.string())
         return pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
 
     return run(ids)
