@@ -165,7 +165,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     kind = "string" if docs.schema[id_col].dataType.typeName() == "string" else "long"
-    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch, part = np.zeros(1 << SKETCH_BITS, dtype=np.int64), 0
@@ -177,14 +177,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                     ids.append(_set_id(s))
                     ns.append(len(s))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64") if kind == "long" else frame["doc_id"], "set_id": np.array(ids, dtype=np.int64), "n": ns, "part": part, "block": None, "counts": None})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64") if kind == "long" else frame["doc_id"], "text_hash": frame["text_hash"], "set_id": np.array(ids, dtype=np.int64), "n": ns, "part": part, "block": None, "counts": None})
         blocks = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << 16)
         full = np.flatnonzero(blocks.any(axis=1))
-        yield pd.DataFrame({"doc_id": None, "set_id": None, "n": None, "part": part, "block": full, "counts": [blocks[k].tobytes() for k in full]})
+        yield pd.DataFrame({"doc_id": None, "text_hash": None, "set_id": None, "n": None, "part": part, "block": full, "counts": [blocks[k].tobytes() for k in full]})
 
-    fields = f"doc_id {kind}, set_id long, n long, part int, block int, counts binary"
+    fields = f"doc_id {kind}, text_hash long, set_id long, n long, part int, block int, counts binary"
     seen = written(rows.withColumn("part", F.spark_partition_id()).mapInPandas(first_pass, fields), "ngram-sets")
-    sets = seen.where(F.col("set_id").isNotNull()).select("doc_id", "set_id", F.col("n").alias("n_shingles"))
+    sets = seen.where(F.col("set_id").isNotNull()).select("doc_id", "text_hash", "set_id", F.col("n").alias("n_shingles"))
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
         total = reduce(np.add, (np.frombuffer(x, dtype=np.uint8 if len(x) == 1 << 16 else np.uint32).astype(np.uint32) for x in frame["counts"]))
@@ -226,8 +226,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_signature = rows.select("text").mapInArrow(signed, "sig long, set_id long").repartition("sig").sortWithinPartitions("sig", "set_id")
     groups = written(connected_components(by_signature.mapInArrow(stars, "a long, b long"), "ngram-groups"), "ngram-groups")
 
-    chosen = sets.join(groups.withColumnRenamed("node", "set_id"), "set_id").groupBy("set_id", "component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"), F.first("n_shingles").alias("n"))
-    members = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"])).select("set_id", "component", "n", "text")
+    # one row for each set, found again by id and text, so that neither null nor repeated ids meet each other
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    chosen = sets.join(groups.withColumnRenamed("node", "set_id"), "set_id").groupBy("set_id", "component").agg(first, F.first("n_shingles").alias("n"))
+    chosen = chosen.select("set_id", "component", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"))
+    members = rows.join(chosen, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("set_id", "component", "n", "text")
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of the members; rows that share a doc_id with a member but hold another set go."""
