@@ -23,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import MIX_A, MIX_B, mixed, slices, uniform
+from tidemill.llm.common import MIX_A, slices, uniform
 
 _SPACE, _CUT = "▁", "\x1e"
 _OUTSIDE = 0x10FFFE  # stands for a U+2581 of the text itself, which no piece holds
-_A, _B = MIX_A, MIX_B
+_A = MIX_A
 
 
 class Vocabulary:
