@@ -34,3 +34,16 @@ def test_same_seed_same_order_and_empty(spark):
 def test_fewer_rows_than_shards(spark):
     got = shuffled_shards(spark.createDataFrame(ROWS[:3], "doc_id long, text string")).collect()
     assert len(got) == 3 and len({r.shard for r in got}) == 3 and all(r.slot == 0 for r in got)
+
+
+def test_copies_larger_than_a_bucket_fall_into_many(spark, monkeypatch):
+    """A third of the rows agree in id and text: the first and last places of the order hold some of them, whatever the input's parts."""
+    monkeypatch.setattr("tidemill.llm.shards.COPIES", 64)
+    rows = [(i, f"text {i}") for i in range(1000)] + [(None, None)] * 500 + [(7, "copy")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, again = (shuffled_shards(docs.repartition(n), bucket_bytes=400).collect() for n in (2, 5))
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in rows)
+    for key in ((None, None), (7, "copy")):
+        held = [sum((r.doc_id, r.text) == key for r in got if r.shard == s) for s in range(16)]
+        assert min(held) > 0 and max(held) < 100
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)

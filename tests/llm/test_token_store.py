@@ -61,3 +61,16 @@ def test_empty_and_repeated(spark):
     assert sorted(r.start for r in ts.stored_documents(docs, PATH).collect()) [0] == 0
     assert ts.stored_documents(docs, PATH).count() == 3
     assert ts.stored_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_equal_rows_fall_into_many_parts(spark, tmp_path):
+    import public_tokenizers
+
+    from tidemill.llm.token_store import write_store
+
+    docs = spark.createDataFrame([(None, "the same text")] * 3000 + [(1, "one")], "doc_id long, text string").repartition(3)
+    write_store(docs, str(tmp_path / "store"), public_tokenizers.path("word_bpe_49k.json"), docs_per_part=300)
+    parts = [r.n_docs for r in spark.read.parquet(str(tmp_path / "store" / "manifest")).collect()]
+    assert sum(parts) == 3001 and max(parts) < 900
+    starts = [(r.start, r.n_tokens) for r in spark.read.parquet(str(tmp_path / "store" / "recipes")).orderBy("start").collect()]
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))

@@ -15,6 +15,24 @@ from tidemill.llm.common import scratch, written
 
 #: Cells of the hash in which rows and bytes are counted before buckets are drawn; bounds the broadcast table of buckets.
 CELLS = 1 << 20
+#: Copies of a row that one task's row gives at a time where a cell is too full.
+COPIES = 1024
+
+
+def _spread(rows: DataFrame, full: DataFrame, seed: int) -> DataFrame:
+    """The rows, where those of full cells have the number of the copy in their hash too.
+
+    Rows of a full cell are mostly copies: they meet as counts, go out as blocks of copies, and become rows again there.
+    """
+    spark = rows.sparkSession
+    n = F.col("n")
+    copies = rows.join(F.broadcast(full), "cell", "left_semi").groupBy("doc_id", "text", "size").agg(F.count("*").alias("n"))
+    blocks = copies.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES))))
+    blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text", "block")
+    copy = F.explode(F.sequence(F.col("block") * COPIES, F.least(n, (F.col("block") + 1) * COPIES) - 1))
+    cell = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "copy"), F.lit(CELLS)).cast("int").alias("cell")
+    apart = blocks.withColumn("copy", copy).select("doc_id", "text", "size", cell)
+    return rows.join(F.broadcast(full), "cell", "left_anti").select("doc_id", "text", "size", "cell").unionByName(apart)
 
 
 def shuffled_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = 20240229, bucket_bytes: int = 32 << 20, path: str | None = None) -> DataFrame:
@@ -24,7 +42,7 @@ def shuffled_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The order depends on seed, ids and texts alone, and on how many buckets the input's size gives.
 
     Null texts count as empty in size and crc32 and stay null; null ids are kept. Rows that agree in id and text fall
-    into one bucket. An empty table gives no rows. Columns other than the two named ones are not read.
+    into one bucket as long as they are smaller than it, else each copy has a place of its own. An empty table gives no rows. Columns other than the two named ones are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
@@ -32,7 +50,12 @@ def shuffled_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(CELLS)).cast("int").alias("cell"),
     )
-    cells = written(rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "shard-cells")
+    sums = F.count("*").alias("n"), F.sum("size").alias("bytes")
+    cells = written(rows.groupBy("cell").agg(*sums), "shard-cells")
+    full = cells.where((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select("cell")
+    if not full.isEmpty():
+        rows = _spread(rows, full, seed)
+        cells = written(rows.groupBy("cell").agg(*sums), "shard-cells")
     total = cells.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     n_rows, n_buckets = total["n"] or 0, max(1, min(CELLS, -(-(total["bytes"] or 0) // bucket_bytes)))
 

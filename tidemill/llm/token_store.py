@@ -211,7 +211,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     encoded = written(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
             _encoded(tokenizer, end_id), "doc_id long, n_tokens long, digests array<binary>, root binary, payloads array<binary>"
-        ),
+        ).withColumn("tie", F.monotonically_increasing_id()),  # written, so that rows with equal ids and texts can be cut apart
         "token-ids",
     )
     width = 2 if _encoder_dtype(tokenizer, end_id).itemsize == 2 else 4
@@ -223,9 +223,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     )
     n_parts = max(1, -(-encoded.count() // docs_per_part), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = (
-        encoded.select("doc_id", "n_tokens", "digests", "root")
-        .repartitionByRange(n_parts, F.asc_nulls_first("doc_id"), "root")
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "root")
+        encoded.select("doc_id", "n_tokens", "digests", "root", "tie")
+        .repartitionByRange(n_parts, F.asc_nulls_first("doc_id"), "root", "tie")
+        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "root", "tie")
+        .drop("tie")
         .withColumn("part", F.spark_partition_id())
     )
     fields = "doc_id long, n_tokens long, digests array<binary>, root binary, part int, start long"
