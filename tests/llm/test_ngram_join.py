@@ -107,3 +107,17 @@ def test_whole_table(spark):
     want = dict(zip([r.doc_id for r in rows], components([r.doc_id for r in rows], sets)))
     assert {r.doc_id: r.component_id for r in nj.ngram_components(docs).collect()} == want
     assert nj.ngram_components(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [nj.BLOCK, 7])
+def test_numbers_of_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nj, "BLOCK", block)
+    texts = [None, "", "", "One two", "one TWO", *near_copies(1)]
+    texts += texts[40:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = brute(texts)
+    want = {i: sum(100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets) if j != i and a and b) for i, a in enumerate(sets)}
+    got = nj.ngram_components(docs).collect()
+    assert len(got) == len(texts) and {r.doc_id: r.n_links for r in got} == want
+    size = {c: sum(r.component_id == c for r in got) for c in {r.component_id for r in got}}
+    assert any(r.n_links < size[r.component_id] - 1 for r in got)

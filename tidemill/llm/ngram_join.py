@@ -156,10 +156,10 @@ def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (other rows linked with it) of every row.
 
     Texts in lower case (A-Z) give word n-grams; two sets link at num/den Jaccard similarity or more. Null texts and texts
-    without words have empty sets and link with nothing: component_id is their own id. Fewer than `width` words are one
+    without words have empty sets and link with nothing: component_id is their own id, n_links 0. Fewer than `width` words are one
     n-gram. Equal sets (repeated rows, copies) are one set with many ids from the first step on. Null ids stay, and don't
     count as smallest. Ids may be of any integer type (returned as long) or strings. 64-bit hashes stand for n-grams and sets. Other columns are not read.
     """
@@ -228,9 +228,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # one row for each set, found again by id and text, so that neither null nor repeated ids meet each other
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    chosen = sets.join(groups.withColumnRenamed("node", "set_id"), "set_id").groupBy("set_id", "component").agg(first, F.first("n_shingles").alias("n"))
-    chosen = chosen.select("set_id", "component", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"))
-    members = rows.join(chosen, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("set_id", "component", "n", "text")
+    chosen = sets.join(groups.withColumnRenamed("node", "set_id"), "set_id").groupBy("set_id", "component").agg(first, F.first("n_shingles").alias("n"), F.count("*").alias("docs"))
+    chosen = chosen.select("set_id", "component", "n", "docs", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"))
+    members = rows.join(chosen, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("set_id", "component", "n", "docs", "text")
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of the members; rows that share a doc_id with a member but hold another set go."""
@@ -238,10 +238,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             texts, ids = batch["text"].to_pylist(), batch["set_id"].to_pylist()
             for a, b in slices(texts):
                 found = [_set_id(s) == k and s.astype("<u8").tobytes() or None for s, k in zip(shingle_sets(texts[a:b], width), ids[a:b])]
-                out = pa.record_batch({"set_id": batch["set_id"].slice(a, b - a), "component": batch["component"].slice(a, b - a), "n": batch["n"].slice(a, b - a), "shingles": pa.array(found, pa.binary())})
+                out = pa.record_batch({"set_id": batch["set_id"].slice(a, b - a), "component": batch["component"].slice(a, b - a), "n": batch["n"].slice(a, b - a), "docs": batch["docs"].slice(a, b - a), "shingles": pa.array(found, pa.binary())})
                 yield out.filter(pc.is_valid(out["shingles"]))
 
-    members = written(members.mapInArrow(reread, "set_id long, component long, n long, shingles binary"), "ngram-members")
+    members = written(members.mapInArrow(reread, "set_id long, component long, n long, docs long, shingles binary"), "ngram-members")
     spots = members.select("set_id", "component", "n").distinct()
     sizes = spots.groupBy("component").agg(F.count("*").alias("members"), F.min("n").alias("least"))
     blocked = spots.join(sizes, "component").select(
@@ -262,17 +262,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 one, two = np.flatnonzero(left), np.flatnonzero(~left)
                 i, j = overlapping_pairs([held[k] for k in one], [held[k] for k in two], num, den, same=False)
                 i, j = one[i], two[j]
+            docs = group["docs"].to_numpy()
+            linked = (np.bincount(i, docs[j], len(ids)) + np.bincount(j, docs[i], len(ids))).astype(np.int64)
+            some = np.flatnonzero(linked)
             i, j = _forest(i, j, len(ids))
-            yield pd.DataFrame({"a": ids[i], "b": ids[j]})
-
-    work = cells.join(members.select("set_id", "shingles").dropDuplicates(["set_id"]), "set_id").repartition("grp").sortWithinPartitions("grp")
-    links = connected_components(work.select("grp", "set_id", "left", "own", "shingles").mapInPandas(verify, "a long, b long"), "ngram-links")
-
-    labelled = sets.join(links.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("label"))
+            yield pd.DataFrame({"a": ids[i], "b": ids[j], "linked": pd.array([None] * len(i), "Int64")})
+            yield pd.DataFrame({"a": ids[some], "b": pd.array([None] * len(some), "Int64"), "linked": linked[some]})
+
+    work = cells.join(members.select("set_id", "docs", "shingles").dropDuplicates(["set_id"]), "set_id").repartition("grp").sortWithinPartitions("grp")
+    found = written(work.select("grp", "set_id", "left", "own", "docs", "shingles").mapInPandas(verify, "a long, b long, linked long"), "ngram-verified")
+    links = connected_components(found.where("b is not null").select("a", "b"), "ngram-links")
+    # each pair of sets meets in one cell, so the cells' numbers add up
+    linked = found.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("linked").alias("linked"))
+    known = sets.groupBy("set_id").agg(F.count("*").alias("docs")).join(links.withColumnRenamed("node", "set_id"), "set_id", "left").join(linked, "set_id", "left")
+    known = known.select("set_id", F.coalesce("component", "set_id").alias("label"), (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+
+    labelled = sets.join(known, "set_id").select("doc_id", "n_shingles", "label", "n_links")
     filled = labelled.where("n_shingles > 0")
     least = filled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    alone = labelled.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return filled.join(least, "label").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = labelled.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return filled.join(least, "label").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(alone)
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
