@@ -21,3 +21,18 @@ def test_comparison_finds_a_wrong_value(spark):
 def test_approximate_count(spark):
     (a,) = [r.parts for r in QUERIES["agg_approx_distinct"](spark, SF).collect()][:1]
     assert 150 <= a <= 250
+
+
+def test_user_functions_hold_no_group(spark):
+    """Groups are summed up before Python or Spark holds them together."""
+    import math
+
+    from tidemill.functions.stats import geometric_mean
+    from tidemill.plans.relational import QUERIES
+
+    plan = {q: QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in ("udaf_pandas", "cogroup_pandas")}
+    assert "AggregateInPandas" not in plan["udaf_pandas"] and "ArrowAggregatePython" not in plan["udaf_pandas"]
+    assert plan["cogroup_pandas"].count("partial_count") == 2
+    rows = [("a", 2.0), ("a", 8.0), ("a", -1.0), ("a", None), ("b", 0.0), (None, 3.0)]
+    got = dict(map(tuple, geometric_mean(spark.createDataFrame(rows, "k string, x double"), "k", "x").collect()))
+    assert math.isclose(got["a"], 4) and got["b"] is None and math.isclose(got[None], 3) and len(got) == 3

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,9 +22,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _geometric_mean(x: pd.Series) -> float:
-    x = x[x > 0]
-    return float(np.exp(np.log(x).mean())) if len(x) else None
+def _log_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sum of the logarithms and number of the positive values of each key, batch by batch."""
+    for frame in frames:
+        x = frame["x"].where(frame["x"] > 0)
+        parts = pd.DataFrame({"key": frame["key"], "logs": np.log(x)}).groupby("key", dropna=False)["logs"].agg(["sum", "count"])
+        yield parts.reset_index().rename(columns={"sum": "logs", "count": "n"})
 
 
 def _softsign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -32,9 +35,10 @@ def _softsign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield x / (1 + x.abs())
 
 
-def geometric_mean(x: Column | str) -> Column:
-    """Grouped aggregate over Arrow batches; null for no positive value."""
-    return F.pandas_udf(_geometric_mean, "double")(x)
+def geometric_mean(df: DataFrame, key: str, x: str) -> DataFrame:
+    """`key` (of type string) and `mean` of its positive values; null for none. Batches give partial sums, so no group is held."""
+    parts = df.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x")).mapInPandas(_log_sums, "key string, logs double, n long")
+    return parts.groupBy(F.col("key").alias(key)).agg(F.exp(F.sum("logs") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
 
 
 def softsign(x: Column | str) -> Column:

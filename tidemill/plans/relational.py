@@ -429,7 +429,7 @@ def udf_pandas(spark, sf_dir):
 
 @query("SELECT event_type, round(exp(avg(ln(value)) FILTER (WHERE value > 0)), 6) AS mean FROM events GROUP BY event_type")
 def udaf_pandas(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(geometric_mean("value"), 6).alias("mean"))
+    return geometric_mean(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
@@ -450,7 +450,7 @@ def cogroup_pandas(spark, sf_dir):
     import pandas as pd
 
     def both(key: tuple, clicks: pd.DataFrame, views: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]], "clicks": [len(clicks)], "views": [len(views)]})
+        return pd.DataFrame({"user_id": [key[0]], "clicks": [int(clicks["n"].sum())], "views": [int(views["n"].sum())]})
 
-    e = table(spark, sf_dir, "events").select("user_id", "event_type")
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))  # one row of a user on each side
     return e.where("event_type = 'click'").groupBy("user_id").cogroup(e.where("event_type = 'view'").groupBy("user_id")).applyInPandas(both, "user_id long, clicks long, views long")
