@@ -56,6 +56,17 @@ def test_damage_is_found(spark, tmp_path):
         ts.verified_documents(spark, path).collect()
 
 
+def test_a_lost_recipe_is_found(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    ts.write_store(spark.createDataFrame([(1, BASE), (2, "a b"), (3, None)], "doc_id long, text string"), path, PATH)
+    assert ts.verified_documents(spark, path).count() == 3
+    recipes = spark.read.parquet(f"{path}/recipes")
+    kept = spark.createDataFrame([r for r in recipes.collect() if r.doc_id != 2], recipes.schema)
+    kept.write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        ts.verified_documents(spark, path)
+
+
 def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c")], "doc_id long, text string")
     assert sorted(r.start for r in ts.stored_documents(docs, PATH).collect()) [0] == 0

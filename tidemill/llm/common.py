@@ -34,12 +34,13 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_TO_LOWER)
 
 
-def word_column(texts: list[str | None], lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def word_column(texts: list[str | None] | pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of all texts (Arrow strings), each word's place among them, text after text, and their counts.
 
     The same words as `words` gives, split and numbered by Arrow; with `lower`, A-Z are in lower case.
     """
-    column = pa.array(texts, pa.large_string(), from_pandas=True).fill_null("")
+    column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string(), from_pandas=True)
+    column = column.fill_null("")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     coded = lists.flatten().dictionary_encode()
     distinct, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -120,11 +121,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about so many characters, or one text."""
+def slices(texts: list | pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about so many characters (bytes of an Arrow column), or one text."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "") + 64
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(text or "") for text in texts]
+    for i, size in enumerate(sizes):
+        held += size + 64
         if held > most:
             yield start, i + 1
             start, held = i + 1, 0

@@ -27,7 +27,7 @@ from tidemill.llm.common import scratch, slices, word_column, written
 #: Chunks have 64 ids at least but for a document's last, 2048 at most, and some 512 on average.
 LEAST, MOST, AVERAGE, WINDOW = 64, 2048, 512, 16
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
 _SEPARATOR = "☆"
 #: Letters up to U+00FF (composed as they are, with one lower case) and the marks behind them, one run each.
 _RUNS = "^(?P<base>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[.,;:!?#*$%&|<>]*)$"
@@ -58,40 +58,46 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {"": 0}
         self.flat, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.words = {whole: pa.array([""], pa.large_string()) for whole in (True, False)}
+        self.at = {whole: np.zeros(1, dtype=np.int64) for whole in (True, False)}
 
-    def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.places.update(zip(keys, range(len(self.places), len(self.places) + len(keys))))
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         self.flat, self.sizes = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.sizes, sizes])
-
-    def _learn(self, new: list[str], whole: bool) -> None:
-        """Puts the ids of new words into the table. whole: the splitter keeps each in one run, so one id ends each."""
-        size = 2000 if whole else 1000
-        again: list[str] = []
-        groups = [g for i in range(0, len(new), size) if (g := [w for w in new[i : i + size] if _SEPARATOR not in w])]
-        for group, ids in zip(groups, self._encode([(" " if whole else f" {_SEPARATOR} ").join(g) for g in groups])):
+        return np.arange(len(self.sizes) - len(sizes), len(self.sizes))
+
+    def _learn(self, new: list[str], whole: bool) -> np.ndarray:
+        """Puts the ids of new words into the table, and gives their places. whole: the splitter keeps each in one run, so one id ends each."""
+        size, at, again, plain, odd = 2000 if whole else 1000, np.zeros(len(new), dtype=np.int64), [], [], []
+        for i, w in enumerate(new):
+            (odd if _SEPARATOR in w else plain).append(i)
+        groups = [plain[i : i + size] for i in range(0, len(plain), size)]
+        for group, ids in zip(groups, self._encode([(" " if whole else f" {_SEPARATOR} ").join([new[i] for i in g]) for g in groups])):
             ids = np.array(ids, dtype=np.int64)
             cuts = np.flatnonzero(self.ends_word[ids]) + 1 if whole else np.append(np.flatnonzero(ids == self.separator), len(ids))
             if len(cuts) != len(group):
                 again += group
             elif whole:
-                self._add(group, ids, np.diff(cuts, prepend=0))
+                at[group] = self._add(ids, np.diff(cuts, prepend=0))
             else:
-                self._add(group, np.delete(ids, cuts[:-1]), np.diff(cuts, prepend=-1) - 1)
-        for word, ids in zip(odd := [w for w in new if _SEPARATOR in w], self._encode(odd)):
-            self._add([word], np.array(ids, dtype=np.int64), np.array([len(ids)]))
+                at[group] = self._add(np.delete(ids, cuts[:-1]), np.diff(cuts, prepend=-1) - 1)
+        for i, ids in zip(odd, self._encode([new[i] for i in odd])):
+            at[i] = self._add(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0]
         if again:
-            self._learn(again, whole=False)
+            at[again] = self._learn([new[i] for i in again], whole=False)
+        return at
 
     def _places(self, column: pa.Array, whole: bool) -> np.ndarray:
         """The table's places of all words of a column; new ones are learnt."""
-        coded = column.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.places]:
-            self._learn(new, whole)
-        place = np.fromiter(map(self.places.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        return place[coded.indices.to_numpy(zero_copy_only=False)]
+        coded, known = column.dictionary_encode(), self.words[whole]
+        place = pc.index_in(coded.dictionary, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = coded.dictionary.take(pa.array(new))
+            self.at[whole] = np.concatenate([self.at[whole], self._learn(fresh.to_pylist(), whole)])
+            self.words[whole] = pa.concat_arrays([known, fresh])
+            place[new] = np.arange(len(known), len(known) + len(new))
+        return self.at[whole][place][coded.indices.to_numpy(zero_copy_only=False)]
 
     @staticmethod
     def _gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +107,9 @@ class WordEncoder:
         starts = (np.cumsum(sizes) - sizes)[at]
         return flat[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
-        if len(self.places) > REMEMBERED:
+        if len(self.sizes) > REMEMBERED:
             self._forget()
         column, at, counts = word_column(texts)
         parts = pc.extract_regex(column, _RUNS)
@@ -129,8 +135,8 @@ def _gear(size: int = 1 << 16) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def cut_points(ids: np.ndarray, starts: np.ndarray, gear: np.ndarray) -> list[list[int]]:
-    """Ends of the chunks of each document; ids holds the documents from `starts` on, one after the other."""
+def cut_points(ids: np.ndarray, starts: np.ndarray, gear: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all chunks, and the chunks of each document; ids holds the documents from `starts` on, one after the other."""
     with np.errstate(over="ignore"):
         h = gear[ids & (len(gear) - 1)]
         step = 1
@@ -140,9 +146,9 @@ def cut_points(ids: np.ndarray, starts: np.ndarray, gear: np.ndarray) -> list[li
     marks = np.flatnonzero((h >> np.uint64(40)) % np.uint64(AVERAGE - LEAST) == 0) + 1
     bounds = np.append(starts, len(ids))
     slots = np.searchsorted(marks, bounds)
-    out = []
+    cuts, per = [], []
     for d in range(len(starts)):
-        last, end, cuts = int(bounds[d]), int(bounds[d + 1]), []
+        last, end, before = int(bounds[d]), int(bounds[d + 1]), len(cuts)
         for m in [*marks[slots[d] : slots[d + 1]].tolist(), end]:
             while m - last > MOST:
                 last += MOST
@@ -150,8 +156,8 @@ def cut_points(ids: np.ndarray, starts: np.ndarray, gear: np.ndarray) -> list[li
             if m - last >= LEAST or (m == end and m > last):
                 cuts.append(m)
                 last = m
-        out.append(cuts)
-    return out
+        per.append(len(cuts) - before)
+    return np.array(cuts, dtype=np.int64), np.array(per, dtype=np.int64)
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -169,26 +175,31 @@ def _digest(ids: bytes) -> bytes:
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
+def _lists(items: pa.Array, per: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), items)
+
+
 def _encoded(path: str, end_id: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoders.setdefault((path, end_id), None) or WordEncoder(path, end_id)
         _encoders[path, end_id] = encoder
         gear = _gear()
-        for frame in frames:
-            texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            for a, b in slices(texts, 2_000_000):
-                ids, counts = encoder.encode(texts[a:b])
-                starts = np.cumsum(counts) - counts
-                packed = ids.astype(encoder.dtype)
-                digests, payloads = [], []
-                for start, cuts in zip(starts.tolist(), cut_points(ids, starts, gear)):
-                    own = [packed[i:j].tobytes() for i, j in zip([start, *cuts], cuts)]
-                    payloads.append(own)
-                    digests.append([_digest(x) for x in own])
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b].astype("Int64").to_numpy(dtype=object, na_value=None), "n_tokens": counts, "digests": digests, "root": [merkle_root(x) for x in digests], "payloads": payloads})
+        for batch in batches:
+            for a, b in slices(batch["text"], 8_000_000):
+                ids, counts = encoder.encode(batch["text"].slice(a, b - a))
+                ends, per = cut_points(ids, np.cumsum(counts) - counts, gear)
+                packed, width = ids.astype(encoder.dtype).tobytes(), encoder.dtype.itemsize
+                edges = [0, *(ends * width).tolist()]
+                digests = [_digest(packed[i:j]) for i, j in zip(edges, edges[1:])]
+                stops = [0, *np.cumsum(per).tolist()]
+                payloads = pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(np.array(edges, dtype=np.int32)), pa.py_buffer(packed)])
+                yield pa.record_batch({
+                    "doc_id": batch["doc_id"].slice(a, b - a), "n_tokens": counts, "digests": _lists(pa.array(digests, pa.binary()), per),
+                    "root": pa.array([merkle_root(digests[i:j]) for i, j in zip(stops, stops[1:])], pa.binary()), "payloads": _lists(payloads, per),
+                })
 
     return run
 
@@ -209,7 +220,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     An empty table gives empty tables. Columns other than the two named ones are not read.
     """
     encoded = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
             _encoded(tokenizer, end_id), "doc_id long, n_tokens long, digests array<binary>, root binary, payloads array<binary>"
         ).withColumn("tie", F.monotonically_increasing_id()),  # written, so that rows with equal ids and texts can be cut apart
         "token-ids",
@@ -231,17 +242,21 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     )
     fields = "doc_id long, n_tokens long, digests array<binary>, root binary, part int, start long"
     ordered = written(ordered.mapInPandas(_running, fields), "token-recipes")
-    parts = ordered.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("docs"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    _parts(ordered).select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"), "n_docs", "n_tokens", "root").write.parquet(f"{path}/manifest")
+    offsets = docs.sparkSession.read.parquet(f"{path}/manifest").select("part", "offset")  # one row for each part
+    ordered.join(F.broadcast(offsets), "part").select("part", "doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "digests", "root").write.parquet(f"{path}/recipes")
+
+
+def _parts(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens and root (over the document roots in the order of `start`) of the parts of recipes."""
 
     @F.pandas_udf("binary")
     def part_root(docs: pd.Series) -> pd.Series:
         return pd.Series([merkle_root([bytes(d["root"]) for d in x]) for x in docs])
 
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", "n_docs", "n_tokens", part_root("docs").alias("root"))
-    parts.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"), "n_docs", "n_tokens", "root").write.parquet(f"{path}/manifest")
-    offsets = docs.sparkSession.read.parquet(f"{path}/manifest").select("part", "offset")  # one row for each part
-    ordered.join(F.broadcast(offsets), "part").select("part", "doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "digests", "root").write.parquet(f"{path}/recipes")
+    parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("docs"))
+    return parts.select("part", "n_docs", "n_tokens", part_root("docs").alias("root"))
 
 
 def _encoder_dtype(tokenizer: str, end_id: int) -> np.dtype:
@@ -312,9 +327,13 @@ def joined_crc32(crcs: np.ndarray, lengths: np.ndarray, starts: np.ndarray, tabl
 def verified_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks of each document, from the store's files.
 
-    Each chunk's bytes are held against its digest where they are read, and each document's digests against its Merkle
+    The recipes are held against the manifest first: every part with its documents, ids and root. Each chunk's bytes are held against its digest where they are read, and each document's digests against its Merkle
     root; the document's crc32 is put together from its chunks' crc32s, so no ids move between tasks.
     """
+    listed = spark.read.parquet(f"{path}/manifest").select("part", F.struct("n_docs", "n_tokens", "root").alias("listed"))
+    there = _parts(spark.read.parquet(f"{path}/recipes")).select("part", F.struct("n_docs", "n_tokens", "root").alias("there"))
+    if not listed.join(there, "part", "full").where(~F.col("listed").eqNullSafe(F.col("there"))).isEmpty():
+        raise ValueError("the recipes aren't those of the manifest")
     first = spark.read.parquet(f"{path}/chunks").select(F.expr("length(ids) div n").alias("width")).first()
     width = first["width"] if first else 2
     chunks = spark.read.parquet(f"{path}/chunks").mapInPandas(_verified(width), "digest binary, n int, crc long")
