@@ -37,7 +37,7 @@ def every_path(vocabulary, text):
 
 def sample(vocabulary, texts, k, seed=0):
     keys = np.arange(len(texts), dtype=np.uint64) * np.uint64(1000003) + np.uint64(seed)
-    return list(p.sample_texts(vocabulary, texts, keys, k))
+    return list(p.sample_texts(p.Lattices(vocabulary), texts, keys, k))
 
 
 def test_round_trip_and_distinct(vocabulary):
@@ -70,7 +70,7 @@ def test_log_probabilities_and_exhaustion(vocabulary):
 def test_first_draw_and_inclusion_follow_the_probabilities(vocabulary):
     want, n = every_path(vocabulary, "thin"), 4000
     keys = np.arange(n, dtype=np.uint64) * np.uint64(7919)
-    found = list(p.sample_texts(vocabulary, ["thin"] * n, keys, 2))
+    found = list(p.sample_texts(p.Lattices(vocabulary), ["thin"] * n, keys, 2))
     first = Counter(tuple(x[2].tolist()) for x in found if x[1] == 0)
     for ids, log in want.items():
         assert abs(first[ids] / n - np.exp(log)) < 4 * np.sqrt(np.exp(log) / n) + 0.002

@@ -1,8 +1,9 @@
 """Encoding into pieces by sampled segmentations without replacement, and decoding.
 
 A piece vocabulary gives a lattice over a text. Each piece has the probability that Zipf's law gives its rank, so each path
-(a segmentation) has one too. Pieces never cross the start of a word, nor a line end, so the lattice is a chain of small
-lattices of segments, each distinct one built once for a batch.
+(a segmentation) has one too. Pieces never cross the start of a word, nor a line end, nor the step from a letter to a mark
+that no piece of the vocabulary has behind a letter; so the lattice is a chain of small lattices of segments, which a
+Python worker builds once and remembers.
 
 Distinct segmentations come from a perturbed A* search (Gumbel top-k): the root of the search holds all paths and a Gumbel
 value; the best node on the heap gives its best path, and is split into the sets of paths that leave that path first at
@@ -54,6 +55,9 @@ class Vocabulary:
         self.hashes, self.ids = hashes[order], np.array(plain)[order]
         self.logs = np.array([logs[rank[i]] for i in self.ids])
         self.lengths = np.array([len(self.pieces[i]) for i in self.ids])
+        # marks that no piece has right behind a letter: lattices fall apart there
+        marks = "".join(c for c in ".,;:!?" if not any(re.search(f"[^\\W\\d_]{re.escape(c)}", self.pieces[i]) for i in plain))
+        self.split = f"^(?P<base> *[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<tail>[{marks}]+)$" if marks else None
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
         text = [b"" if model.is_control(i) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(self.pieces)]
@@ -98,11 +102,11 @@ class Vocabulary:
         return np.concatenate([start, none]), np.concatenate([length, np.ones(len(none), dtype=np.int64)]), np.concatenate([self.ids[slot], np.full(len(none), -1)]), np.concatenate([self.logs[slot], n_bytes * self.byte_log])
 
 
-def segments(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def segments(texts: list[str], split: str | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct segments (spaces as they are), each one's place, and the segments of each text.
 
     A text begins with the space that encoding puts before it. A segment is a run of spaces and what follows up to the
-    next space, or one line end.
+    next space, or one line end. What matches `split` is two segments, its base and its tail.
     """
     column = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pa.array(texts, pa.large_string()), pa.scalar(" ", pa.large_string()))
     if pc.any(pc.match_substring(column, "  ")).as_py():
@@ -113,38 +117,80 @@ def segments(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     lists = pc.split_pattern(column, _CUT)
     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     odd = [i for i, t in enumerate(texts) if _CUT in t]
     if odd:  # texts that hold the cutting character themselves
         ends, parts = np.cumsum(counts), []
-        numbers = {s: i for i, s in enumerate(distinct)}
+        numbers = {s: i for i, s in enumerate(distinct.to_pylist())}
         for i in range(len(texts)):
             own = at[ends[i] - counts[i] : ends[i]]
             if _CUT in texts[i]:
                 own = np.array([numbers.setdefault(s, len(numbers)) for s in re.findall("\n| *[^ \n]+| +", " " + texts[i])], dtype=np.int64)
             parts.append(own)
-        distinct, at, counts = list(numbers), np.concatenate(parts), np.array([len(p) for p in parts])
-    if "" in distinct:
-        there = at != distinct.index("")
+        distinct, at, counts = pa.array(list(numbers), pa.large_string()), np.concatenate(parts), np.array([len(p) for p in parts])
+    empty = pc.index(distinct, pa.scalar("", pa.large_string())).as_py()
+    if empty >= 0:
+        there = at != empty
         counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[there], minlength=len(counts))
         at = at[there]
-    return distinct, at, counts
+    if split is None:
+        return distinct, at, counts
+    parts = pc.extract_regex(distinct, split)
+    two = parts.is_valid()
+    coded = pa.concat_arrays([pc.if_else(two, parts.field("base"), distinct), parts.field("tail").filter(two)]).dictionary_encode()
+    number, two = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), two.to_numpy(zero_copy_only=False)
+    both = np.full((len(distinct), 2), -1)
+    both[:, 0], both[two, 1] = number[: len(distinct)], number[len(distinct) :]
+    more = np.concatenate([[0], np.cumsum(two[at])])[np.concatenate([[0], np.cumsum(counts)])]
+    at = both[at].reshape(-1)
+    return coded.dictionary, at[at >= 0], counts + np.diff(more)
 
 
 class Lattices:
-    """Lattices of distinct segments, with forward sums; paths are drawn backwards from each segment's end."""
+    """Lattices of distinct segments, with forward sums; paths are drawn backwards from each segment's end.
 
-    def __init__(self, vocabulary: Vocabulary, distinct: list[str]):
-        self.vocabulary, self.distinct = vocabulary, distinct
+    Nodes and edges of all segments lie one after the other, and `places` adds those of segments that are new. An edge
+    has its source, its piece (or, below 0, -2 less the character that no piece holds), its log probability among the
+    edges that end where it does, and the running sum of theirs.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.known = vocabulary, pa.array([], pa.large_string())
+        self.room: dict[str, np.ndarray] = {}
+        for name, kind in (("first", "i4"), ("last", "i4"), ("source", "i4"), ("head", "i4"), ("tail", "i4"), ("piece", "i4"), ("log", "f8"), ("ladder", "f8")):
+            self._append(name, np.zeros(0, dtype=kind))
+
+    def _append(self, name: str, new: np.ndarray) -> None:
+        """Arrays grow within room that doubles."""
+        n = len(getattr(self, name, ()))
+        if n + len(new) > len(self.room.get(name, ())) or name not in self.room:
+            room = np.zeros(max(1024, 2 * n, n + len(new)), dtype=self.room[name].dtype if name in self.room else new.dtype)
+            room[:n] = getattr(self, name, new[:0])
+            self.room[name] = room
+        self.room[name][n : n + len(new)] = new
+        setattr(self, name, self.room[name][: n + len(new)])
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """Numbers of segments other than empty ones."""
+        place = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero((place < 0) & (pc.binary_length(distinct).to_numpy(zero_copy_only=False) > 0))
+        if len(new):
+            fresh = distinct.take(pa.array(new))
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._grow(fresh.to_pylist())
+            self.known = pa.concat_arrays([self.known, fresh])
+        return place
+
+    def _grow(self, distinct: list[str]) -> None:
         size = np.array([len(s) for s in distinct], dtype=np.int64)
         codes = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
         codes = np.where(codes == 0x2581, np.uint64(_OUTSIDE), np.where(codes == 0x20, np.uint64(0x2581), codes))
-        self.codes = codes
         segment = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-        start, length, piece, log = vocabulary.edges(codes, size[segment] - place)
+        start, length, piece, log = self.vocabulary.edges(codes, size[segment] - place)
+        outside = np.flatnonzero(piece < 0)
+        piece[outside] = -2 - np.where(codes[start[outside]] == _OUTSIDE, 0x2581, codes[start[outside]]).astype(np.int64)
         first = np.cumsum(size + 1) - size - 1  # a segment of n characters has n + 1 nodes
-        self.first, self.last = first, first + size
         source = first[segment[start]] + place[start]
         target = source + length
         order = np.argsort(target, kind="stable")  # a few sorted runs; within a node long pieces, the likely ones, stay first
@@ -161,19 +207,22 @@ class Lattices:
             heads = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
             most = np.maximum.reduceat(value, heads)
             total[ends[heads]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, np.diff(np.append(heads, hi - lo)))), heads))
-        self.source, self.piece, self.char, self.log = source, piece, start, total[source] + log - total[target]
-        share = np.exp(self.log)
+        log = total[source] + log - total[target]
+        share = np.exp(log)
         heads = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.zeros(0, dtype=np.int64)
         bounds = np.append(heads, len(target))
         run = np.cumsum(share)
-        self.ladder = run - np.repeat(run[heads] - share[heads], np.diff(bounds))
-        self.ladder[bounds[1:] - 1] = 1.0  # the last edge of a node takes what rounding leaves
-        self.head, self.tail = np.full(len(total), -1), np.full(len(total), -1)  # the edges that end in a node
-        self.head[target[heads]], self.tail[target[heads]] = heads, bounds[1:]
+        ladder = run - np.repeat(run[heads] - share[heads], np.diff(bounds))
+        ladder[bounds[1:] - 1] = 1.0  # the last edge of a node takes what rounding leaves
+        head, tail = np.full(len(total), -1), np.full(len(total), -1)  # the edges that end in a node
+        head[target[heads]], tail[target[heads]] = heads, bounds[1:]
+        nodes, edges = len(self.head), len(self.source)
+        for name, new in (("first", first + nodes), ("last", first + size + nodes), ("source", source + nodes), ("head", head + edges), ("tail", tail + edges), ("piece", piece), ("log", log), ("ladder", ladder)):
+            self._append(name, new)
 
     def draw(self, which: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One path for each segment number: edges of all paths (segment after segment, in order), edges of each, log p."""
-        node, log = self.last[which].copy(), np.zeros(len(which))
+        node, log = self.last[which], np.zeros(len(which))
         active, step, taken = np.arange(len(which)), 0, []
         while len(active):
             u = uniform(key[active], counter[active] * np.uint64(1 << 20) + np.uint64(step))
@@ -187,7 +236,7 @@ class Lattices:
             node[active] = self.source[edge]
             active = active[node[active] > self.first[which[active]]]
             step += 1
-        owner, edge = (np.concatenate([t[k] for t in taken]) if taken else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        owner, edge = (np.concatenate([t[k] for t in taken]) if taken else np.zeros(0, dtype=np.int32) for k in (0, 1))
         order = np.argsort(owner, kind="stable")
         owner, edge = owner[order], edge[order]
         n = np.bincount(owner, minlength=len(which))
@@ -197,22 +246,18 @@ class Lattices:
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids along the edges, bytes for what no piece holds, and how many each edge gives."""
         piece = self.piece[edges]
-        plain = piece >= 0
-        if plain.all():
-            return piece, np.ones(len(piece), dtype=np.int64)
-        n, out = np.ones(len(piece), dtype=np.int64), []
-        last = 0
-        for k in np.flatnonzero(~plain).tolist():
-            code = int(self.codes[self.char[edges[k]]])
-            raw = self.vocabulary.bytes[list(chr(0x2581 if code == _OUTSIDE else code).encode())]
-            out += [piece[last:k], raw]
-            n[k], last = len(raw), k + 1
-        return np.concatenate([*out, piece[last:]]), n
-
+        n, outside = np.ones(len(piece), dtype=np.int64), np.flatnonzero(piece < 0)
+        if not len(outside):
+            return piece, n
+        raw = [self.vocabulary.bytes[list(chr(-2 - code).encode())] for code in piece[outside].tolist()]
+        n[outside] = [len(r) for r in raw]
+        out = np.repeat(piece, n)
+        out[out < 0] = np.concatenate(raw)
+        return out, n
 
     def draw_other(self, segment: int, barred: dict[bytes, float], key: np.uint64, turn: int) -> tuple[np.ndarray | None, float]:
         """A path of one segment that isn't barred, drawn by the share of each edge less what barred paths take of it."""
-        live = [np.frombuffer(path, dtype=np.int64)[::-1] for path in barred]
+        live = [np.frombuffer(path, dtype=np.int32)[::-1] for path in barred]
         node, step, path = self.last[segment], 0, []
         while node > self.first[segment]:
             edges = np.arange(self.head[node], self.tail[node])
@@ -229,7 +274,7 @@ class Lattices:
             path.append(edge)
             live = [bar for bar in live if bar[step] == edge]
             node, step = self.source[edge], step + 1
-        path = np.array(path[::-1], dtype=np.int64)
+        path = np.array(path[::-1], dtype=np.int32)
         return path, float(self.log[path].sum())
 
 
@@ -244,15 +289,15 @@ class _Node:
     barred: dict[bytes, float] = field(compare=False)
 
 
-def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
+def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
     """text number, rank, piece ids, log probability and inclusion score of up to k distinct segmentations of each text.
 
     A text with fewer segmentations gives them all. An empty text has the one piece of the space before it.
     """
-    distinct, at, counts = segments(texts)
-    lattices = Lattices(vocabulary, distinct)
-    first, none = np.cumsum(counts) - counts, np.zeros(0, dtype=np.int64)
-    heaps = [[_Node(float(np.log(-np.log(u))), 0, none, 0.0, {})] for u in uniform(keys, np.zeros(len(keys)))]
+    distinct, at, counts = segments(texts, lattices.vocabulary.split)
+    at = lattices.places(distinct)[at]
+    first, none = np.cumsum(counts) - counts, np.zeros(0, dtype=np.int32)
+    heaps = [[_Node(float(c), 0, none, 0.0, {})] for c in np.log(-np.log(uniform(keys, 0)))]
     done: list[list[tuple[np.ndarray, float]]] = [[] for _ in texts]
     for turn in range(1, k + 1):
         nodes = [(d, heapq.heappop(heap)) for d, heap in enumerate(heaps) if heap]
@@ -263,28 +308,40 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
         ends = np.cumsum(sizes)
         spot = np.arange(ends[-1]) - np.repeat(ends - sizes - skip, sizes)  # number of the segment in its text
         doc = np.repeat(np.array([d for d, _ in nodes]), sizes)
-        which = at[first[doc] + spot]
+        which, bounds = at[first[doc] + spot], list(zip((ends - sizes).tolist(), ends.tolist()))
         edges, n, log = lattices.draw(which, keys[doc], (spot * (k + 1) + turn).astype(np.uint64))
         cuts = np.concatenate([[0], np.cumsum(n)])
-        for (d, node), lo, hi in zip(nodes, (ends - sizes).tolist(), ends.tolist()):
-            own, starts, logs = edges[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], log[lo:hi].copy()
-            if node.barred and own[: starts[1]].tobytes() in node.barred:
-                other, logs[0] = lattices.draw_other(int(which[lo]), node.barred, keys[d], turn)
-                if other is None:
+        other: dict[int, np.ndarray | None] = {}
+        for x, ((d, node), (lo, _)) in enumerate(zip(nodes, bounds)):
+            if node.barred and edges[cuts[lo] : cuts[lo + 1]].tobytes() in node.barred:
+                other[x], log[lo] = lattices.draw_other(int(which[lo]), node.barred, keys[d], turn)
+        before, rest = np.empty(len(log)), -np.expm1(log)  # of each segment's probability, what the path leaves
+        for (_, node), (lo, hi) in zip(nodes, bounds):
+            before[lo] = node.prefix_log
+            np.cumsum(log[lo : hi - 1], out=before[lo + 1 : hi])
+            before[lo + 1 : hi] += node.prefix_log
+            if node.barred:
+                rest[lo] -= sum(map(np.exp, node.barred.values()))
+        noise = -np.log(-np.log(uniform(keys[doc], spot * (k + 1) + turn + (1 << 40))))
+        mass = before + np.log(np.maximum(rest, 1e-300)) + noise
+        value = np.where(rest < 1e-12, -np.inf, -np.logaddexp(np.repeat([node.cost for _, node in nodes], sizes), -mass))  # at most this node's own
+        for x, ((d, node), (lo, hi)) in enumerate(zip(nodes, bounds)):
+            own, starts = edges[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo]
+            if x in other:
+                if other[x] is None:
                     continue
-                own, starts = np.concatenate([other, own[starts[1] :]]), starts + (len(other) - starts[1])
+                own, starts = np.concatenate([other[x], own[starts[1] :]]), starts + (len(other[x]) - starts[1])
                 starts[0] = 0
-            before = node.prefix_log + np.concatenate([[0.0], np.cumsum(logs)])
-            done[d].append((np.concatenate([node.prefix, own]), float(before[-1])))
-            rest = -np.expm1(logs)  # of each segment's probability, what this path leaves
-            rest[0] -= sum(map(np.exp, node.barred.values()))
-            mass = before[:-1] + np.log(np.maximum(rest, 1e-300))
-            noise = -np.log(-np.log(uniform(np.repeat(keys[d : d + 1], len(mass)), (np.arange(node.t, node.t + len(mass)) * (k + 1) + turn) + (1 << 40))))
-            value = np.where(rest < 1e-12, -np.inf, -np.logaddexp(node.cost, -(mass + noise)))  # at most this node's own
-            for i in np.argsort(-value, kind="stable")[: k - turn + 1].tolist():
-                if np.isfinite(value[i]):
-                    barred = {own[starts[i] : starts[i + 1]].tobytes(): float(logs[i])} | (node.barred if i == 0 else {})
-                    heapq.heappush(heaps[d], _Node(float(-value[i]), node.t + i, np.concatenate([node.prefix, own[: starts[i]]]), float(before[i]), barred))
+            done[d].append((np.concatenate([node.prefix, own]), float(before[hi - 1] + log[hi - 1])))
+            values = value[lo:hi]
+            for _ in range(k - turn + 1):
+                i = int(np.argmax(values))
+                best = float(values[i])
+                if not np.isfinite(best):
+                    break
+                barred = {own[starts[i] : starts[i + 1]].tobytes(): float(log[lo + i])} | (node.barred if i == 0 else {})
+                heapq.heappush(heaps[d], _Node(-best, node.t + i, np.concatenate([node.prefix, own[: starts[i]]]), float(before[lo + i]), barred))
+                values[i] = -np.inf
             heaps[d] = heapq.nsmallest(k - turn + 1, heaps[d])
     paths = [path for found in done for path, _ in found]
     ids, n = lattices.ids(np.concatenate([none, *paths]))
@@ -308,7 +365,12 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> l
     return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
+#: Characters of texts that are drawn at once.
+SLICE = 1_000_000
+#: Edges of lattices that a Python worker remembers; some 30 bytes each.
+REMEMBERED = 4_000_000
 _vocabularies: dict[str, Vocabulary] = {}
+_lattices: dict[str, Lattices] = {}
 
 
 def vocabulary_of(path: str) -> Vocabulary:
@@ -318,6 +380,13 @@ def vocabulary_of(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def lattices_of(path: str) -> Lattices:
+    """The lattices that a Python worker has built so far; new ones when they have grown too many."""
+    if path not in _lattices or len(_lattices[path].source) > REMEMBERED:
+        _lattices[path] = Lattices(vocabulary_of(path))
+    return _lattices[path]
+
+
 def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rank (0 to k - 1), ids, log_probability and inclusion of up to k distinct segmentations of each row's text.
 
@@ -329,11 +398,10 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_co
     rows = rows.withColumn("row_key", F.xxhash64(F.lit(seed), "doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = vocabulary_of(model)
         for batch in batches:
             texts, keys, ids = batch["text"].to_pylist(), batch["row_key"].to_numpy().view(np.uint64), batch["doc_id"]
-            for a, b in slices(texts, 300_000):
-                found = list(sample_texts(vocabulary, texts[a:b], keys[a:b], k))
+            for a, b in slices(texts, SLICE):
+                found = list(sample_texts(lattices_of(model), texts[a:b], keys[a:b], k))
                 offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in found])])
                 yield pa.record_batch({
                     "doc_id": ids.take(pa.array([a + x[0] for x in found], pa.int64())),
