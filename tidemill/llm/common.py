@@ -39,7 +39,10 @@ def word_column(texts: list[str | None] | pa.Array, lower: bool = False) -> tupl
 
     The same words as `words` gives, split and numbered by Arrow; with `lower`, A-Z are in lower case.
     """
-    column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string(), from_pandas=True)
+    if isinstance(texts, pa.Array):  # taken, as kernels on slices of a column read from its start
+        column = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    else:
+        column = pa.array(texts, pa.large_string(), from_pandas=True)
     column = column.fill_null("")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     coded = lists.flatten().dictionary_encode()
@@ -121,6 +124,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes the files of a table of `written` that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slices(texts: list | pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about so many characters (bytes of an Arrow column), or one text."""
     start, held = 0, 0
