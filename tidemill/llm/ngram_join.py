@@ -188,11 +188,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
         total = reduce(np.add, (np.frombuffer(x, dtype=np.uint8 if len(x) == 1 << 16 else np.uint32).astype(np.uint32) for x in frame["counts"]))
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "salt": frame["salt"].iloc[:1], "counts": [total.tobytes()]})
 
-    sketches = seen.where(F.col("block").isNotNull()).select("block", "counts", (F.col("part") % 16).alias("salt"))
-    sketches = sketches.groupBy("block", "salt").applyInPandas(added, "block int, counts binary")
-    sketches = sketches.groupBy("block").applyInPandas(added, "block int, counts binary").collect()  # at most 2**(SKETCH_BITS - 16) rows
+    sketches = seen.where(F.col("block").isNotNull()).select("block", "counts", (F.col("part") / 256).cast("int").alias("salt"))
+    for _ in range(2):  # a tree of fixed fan-in, so that no task holds more than 256 parts' counts
+        sketches = sketches.groupBy("block", "salt").applyInPandas(added, "block int, salt int, counts binary").withColumn("salt", (F.col("salt") / 256).cast("int"))
+    sketches = sketches.groupBy("block").applyInPandas(added, "block int, salt int, counts binary").collect()  # at most 2**(SKETCH_BITS - 16) rows
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     for r in sketches:
         counts[r.block << 16 : (r.block + 1) << 16] = np.frombuffer(r.counts, dtype=np.uint32)

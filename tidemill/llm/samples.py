@@ -24,7 +24,12 @@ def chosen_labels(labels: DataFrame, label_col: str, per_class: int, folds: int,
 
 
 def labelled(docs: DataFrame, chosen: pd.DataFrame) -> DataFrame:
-    """The documents of the sample with their label; the sample's size is a parameter, so it goes to all executors."""
+    """One document of each id of the sample, with its label; the sample's size is a parameter, so it goes to all executors.
+
+    Of rows that share an id, the one of the lowest hash stays, so there are never more rows than ids.
+    """
     spark = docs.sparkSession
     sample = spark.createDataFrame(chosen, "doc_id long, label int")
-    return docs.join(F.broadcast(sample), "doc_id")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("row"))
+    return one.select("doc_id", "label", "row.*")
