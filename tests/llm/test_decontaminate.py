@@ -1,4 +1,7 @@
 import random
+import tracemalloc
+
+import pytest
 
 from tidemill.llm import decontaminate as d
 
@@ -25,7 +28,10 @@ def brute_coverage(item, doc, least):
         total += n
 
 
-def test_tiling_equals_definition():
+@pytest.mark.parametrize("pairs", [d.PAIRS, 0])
+def test_tiling_equals_definition(monkeypatch, pairs):
+    """With both ways to find matches: all pairs of a seed's places at once, and swept along the item."""
+    monkeypatch.setattr(d, "PAIRS", pairs)
     rng = random.Random(4)
     for _ in range(150):
         item = [rng.choice(WORDS[:6]) for _ in range(rng.randrange(3, 22))]
@@ -39,6 +45,21 @@ def test_tiling_equals_definition():
             assert (got[0]["matched"] if got else 0) == want
 
 
+def test_one_word_over_and_over():
+    passages = d.Passages([(1, "la " * 200), (2, "la la la la lo")], 5, 0.5)
+    tracemalloc.start()
+    got = passages.find(["la " * 400_000])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [{"item_id": 1, "matched": 200, "words": 200, "tiles": 1}] and peak < 500e6
+
+
+def test_short_items_ties_and_null_ids():
+    passages = d.Passages([(1, "one two"), (None, "three"), (3, "a b c d e f"), (4, "a b c d e f"), (5, "")], 5, 0.5)
+    got = [[x["item_id"] for x in found] for found in passages.find(["one two", "two one", "(Three!)", "x a b c d e f", "", None])]
+    assert got == [[1], [], [None], [3, 4], [], []]
+
+
 def test_reordered_and_marked_passages(spark):
     rng = random.Random(1)
     vocabulary = [f"v{i}" for i in range(5000)]
@@ -55,7 +76,7 @@ def test_reordered_and_marked_passages(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block_chars in (8_000_000, 600):
         got = [(r.doc_id, [x.item_id for x in r.leaks]) for r in d.leaks(frame, bench, block_chars=block_chars).collect()]
-        assert got == [(1, [3]), (2, [5]), (3, []), (4, []), (5, []), (6, []), (None, [7]), (1, [7]), (8, [8])]
+        assert got == [(1, [3]), (2, [5]), (3, []), (4, []), (5, []), (6, [100]), (None, [7]), (1, [7]), (8, [8])]
     assert [r.leaks for r in d.leaks(frame, bench.limit(0)).collect()] == [[]] * len(docs)
     assert d.leaks(frame.limit(0), bench).count() == 0
 

@@ -58,3 +58,13 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert got.columns == docs.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(
         [(1, "é <EMAIL>, <IP>!", "x"), (2, None, "y"), (3, "plain", "z"), (1, "é <EMAIL>, <IP>!", "x"), (4, "+<CARD> ok", "w")], docs.schema).collect()))
+
+
+def test_places_of_very_many_matches(spark):
+    """Places are summed in blocks; a text with more matches than a block, beside a text with none."""
+    text = " ".join(f"é{i} user{i}@mail{i % 7}.example.org or 10.0.{i % 256}.{i % 250}," for i in range(1500))
+    rows = {r.doc_id: r for r in find_pii(spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")).collect()}
+    want = {(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)}
+    want |= {(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)}
+    assert {(s.kind, s.start, s.end) for s in rows[1].base} == want and len(rows[1].base) == 3000
+    assert rows[2].base == []
