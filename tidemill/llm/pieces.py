@@ -161,10 +161,10 @@ class Lattices:
             self._append(name, np.zeros(0, dtype=kind))
 
     def _append(self, name: str, new: np.ndarray) -> None:
-        """Arrays grow within room that doubles."""
+        """Arrays grow within room that is a quarter more than they need."""
         n = len(getattr(self, name, ()))
         if n + len(new) > len(self.room.get(name, ())) or name not in self.room:
-            room = np.zeros(max(1024, 2 * n, n + len(new)), dtype=self.room[name].dtype if name in self.room else new.dtype)
+            room = np.zeros(max(1024, (n + len(new)) * 5 // 4), dtype=self.room[name].dtype if name in self.room else new.dtype)
             room[:n] = getattr(self, name, new[:0])
             self.room[name] = room
         self.room[name][n : n + len(new)] = new
@@ -366,9 +366,9 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> l
 
 
 #: Characters of texts that are drawn at once.
-SLICE = 1_000_000
+SLICE = 500_000
 #: Edges of lattices that a Python worker remembers; some 30 bytes each.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_500_000
 _vocabularies: dict[str, Vocabulary] = {}
 _lattices: dict[str, Lattices] = {}
 
