@@ -366,9 +366,9 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> l
 
 
 #: Characters of texts that are drawn at once.
-SLICE = 500_000
+SLICE = 300_000
 #: Edges of lattices that a Python worker remembers; some 30 bytes each.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 _vocabularies: dict[str, Vocabulary] = {}
 _lattices: dict[str, Lattices] = {}
 
