@@ -98,4 +98,6 @@ def test_operator(spark):
     for r in got:
         assert r.text == ([*TEXTS, "", "again", "again"][r.doc_id or 0])
     assert {r.doc_id for r in got} == {None, *range(1, len(rows))}
+    for r in p.sampled_pieces(docs, MODEL, k=2, decode=True).collect():
+        assert r.decoded == ([*TEXTS, "", "again", "again"][r.doc_id or 0])
     assert p.sampled_pieces(docs.limit(0), MODEL).count() == 0

@@ -387,9 +387,11 @@ def lattices_of(path: str) -> Lattices:
     return _lattices[path]
 
 
-def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """doc_id, rank (0 to k - 1), ids, log_probability and inclusion of up to k distinct segmentations of each row's text.
 
+    With `decode`, also `decoded`: the text that the ids give, decoded where they were drawn.
+
     inclusion: the chance that the segmentation is among the k, given the threshold 1 - exp(-exp(log p - threshold)).
     The draw depends on the seed, the id and the text alone. Null texts count as empty; null ids and repeated rows stay
     (repeated rows draw alike). Texts without other segmentations give fewer than k rows. Other columns are not read.
@@ -403,15 +405,20 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_co
             for a, b in slices(texts, SLICE):
                 found = list(sample_texts(lattices_of(model), texts[a:b], keys[a:b], k))
                 offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in found])])
-                yield pa.record_batch({
+                drawn = np.concatenate([x[2] for x in found])
+                columns = {
                     "doc_id": ids.take(pa.array([a + x[0] for x in found], pa.int64())),
                     "rank": pa.array([x[1] for x in found], pa.int32()),
-                    "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x[2] for x in found]).astype(np.int32))),
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(drawn.astype(np.int32))),
                     "log_probability": pa.array([x[3] for x in found], pa.float64()),
                     "inclusion": pa.array([x[4] for x in found], pa.float64()),
-                })
+                }
+                if decode:
+                    columns["decoded"] = pa.array(decode_ids(vocabulary_of(model), drawn.astype(np.int64), np.diff(offsets)), pa.string())
+                del found
+                yield pa.record_batch(columns)
 
-    return rows.mapInArrow(run, "doc_id long, rank int, ids array<int>, log_probability double, inclusion double")
+    return rows.mapInArrow(run, "doc_id long, rank int, ids array<int>, log_probability double, inclusion double" + (", decoded string" if decode else ""))
 
 
 def decoded(ids: Column, model: str) -> Column:

@@ -26,12 +26,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _piece_columns(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    from tidemill.llm.pieces import decoded, sampled_pieces
+    from tidemill.llm.pieces import sampled_pieces
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = sampled_pieces(docs, model, k=2)
+    found = sampled_pieces(docs, model, k=2, decode=True)
     return found.select(
-        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.crc32(decoded(F.col("ids"), model).cast("binary")).alias("decoded_crc32"), "log_probability", "inclusion"
+        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "log_probability", "inclusion"
     )
 
 
