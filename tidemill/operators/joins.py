@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str) -> DataFrame:
     """Each left row with `value` of the last right row at or before its `on`, within the columns `by`; null if none.
 
     One union and one window: a single shuffle on `by` and one sort, where a range condition would compare all pairs of a
-    key. Of right rows with equal `on` the largest value counts.
+    key. Of right rows with equal `on` the largest value counts; a null value of the last row is the answer, not one before.
     """
     keys = [*by, on]
-    one = left.select(F.struct("*").alias("row"), *keys, F.lit(None).cast(right.schema[value].dataType).alias("hit"), F.lit(1).alias("side"))
-    two = right.select(F.lit(None).cast(one.schema["row"].dataType).alias("row"), *keys, F.col(value).alias("hit"), F.lit(0).alias("side"))
+    one = left.select(F.struct("*").alias("row"), *keys, F.lit(None).cast(T.StructType().add("value", right.schema[value].dataType)).alias("hit"), F.lit(1).alias("side"))
+    two = right.select(F.lit(None).cast(one.schema["row"].dataType).alias("row"), *keys, F.struct(F.col(value).alias("value")).alias("hit"), F.lit(0).alias("side"))
     latest = Window.partitionBy(*by).orderBy(on, "side", "hit").rowsBetween(Window.unboundedPreceding, 0)
     both = one.unionByName(two).withColumn("found", F.last("hit", ignorenulls=True).over(latest))
-    return both.where("side = 1").select("row.*", F.col("found").alias(f"asof_{value}"))
+    return both.where("side = 1").select("row.*", F.col("found")["value"].alias(f"asof_{value}"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], on: str, width: str, seconds: int) -> DataFrame:

@@ -229,6 +229,11 @@ def agg_skewness(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(skewness(F.col("l_tax")), 6).alias("skew"))
 
 
+@query("SELECT l_returnflag, round(kurtosis_pop(l_quantity), 6) AS kurt FROM lineitem GROUP BY l_returnflag")
+def agg_kurtosis(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.kurtosis("l_quantity"), 6).alias("kurt"))
+
+
 @query(None)
 def agg_approx_distinct(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))

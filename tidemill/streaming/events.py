@@ -27,10 +27,10 @@ def run_to_end(df: DataFrame, mode: str) -> DataFrame:
     """Runs the stream over all there is, then returns what it wrote."""
     spark = df.sparkSession
     path = shared_folder(spark, "stream")
-    write = lambda batch, number: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else number}")  # noqa: E731  a batch that is tried again writes its folder anew
     started = df.writeStream.outputMode(mode).option("checkpointLocation", shared_folder(spark, "stream-state")).foreachBatch(write).trigger(availableNow=True).start()
     started.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def _bounds(df: DataFrame) -> DataFrame:
