@@ -36,3 +36,17 @@ def test_user_functions_hold_no_group(spark):
     rows = [("a", 2.0), ("a", 8.0), ("a", -1.0), ("a", None), ("b", 0.0), (None, 3.0)]
     got = dict(map(tuple, geometric_mean(spark.createDataFrame(rows, "k string, x double"), "k", "x").collect()))
     assert math.isclose(got["a"], 4) and got["b"] is None and math.isclose(got[None], 3) and len(got) == 3
+
+
+def test_hints_pick_the_join(spark):
+    for name, join in (("join_merge", "SortMergeJoin"), ("join_shuffle_hash", "ShuffledHashJoin")):
+        assert join in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_asof_takes_the_last_row_with_its_null(spark):
+    from tidemill.operators.joins import asof_join
+
+    left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
+    right = spark.createDataFrame([(1, 2, "old"), (1, 4, None), (2, 9, "a"), (2, 9, "b")], "k int, t int, v string")
+    got = {(r.k, r.t): r.asof_v for r in asof_join(left, right, ["k"], "t", "v").collect()}
+    assert got == {(1, 5): None, (1, 1): None, (2, 9): "b"}

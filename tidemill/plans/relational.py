@@ -158,6 +158,22 @@ def join_by_size(spark, sf_dir):
     return small_or_merge(line, supplier, ["l_suppkey"], "inner", supplier.count()).groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
+def _hinted(spark: SparkSession, sf_dir: str, hint: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    return line.join(orders.hint(hint), "o_orderkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+for _name, _hint in (("join_merge", "merge"), ("join_shuffle_hash", "shuffle_hash")):
+    QUERIES[_name] = lambda spark, sf_dir, hint=_hint: _hinted(spark, sf_dir, hint)
+    ORACLES[_name] = "SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority"
+
+
+@query("SELECT event_id, props->>'$.k' AS k FROM events")
+def fn_json_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
 @query("""SELECT a.s_nationkey, count(*) AS pairs FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal GROUP BY a.s_nationkey""")
 def join_theta(spark, sf_dir):
     a, b = table(spark, sf_dir, "supplier").alias("a"), table(spark, sf_dir, "supplier").alias("b")
