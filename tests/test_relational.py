@@ -50,3 +50,26 @@ def test_asof_takes_the_last_row_with_its_null(spark):
     right = spark.createDataFrame([(1, 2, "old"), (1, 4, None), (2, 9, "a"), (2, 9, "b")], "k int, t int, v string")
     got = {(r.k, r.t): r.asof_v for r in asof_join(left, right, ["k"], "t", "v").collect()}
     assert got == {(1, 5): None, (1, 1): None, (2, 9): "b"}
+
+
+def test_band_join_meets_every_pair_once(spark):
+    from tidemill.operators.joins import band_join
+
+    values = [-10.0, -5.0, 0.0, 4.5, 5.0, 9.75, 10.0, 10.0, None, float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    joined = band_join(df, df, "x", 5)
+    assert "SortMergeJoin" in (plan := joined.hint("merge")._jdf.queryExecution().executedPlan().toString()) or "HashJoin" in plan
+    real = [(i, x) for i, x in enumerate(values) if x is not None and x == x]
+    want = sorted((i, j) for i, x in real for j, y in real if 0 < y - x <= 5)
+    assert sorted((r.i, r.r_i) for r in joined.collect()) == want
+
+
+def test_late_rows_are_dropped_and_open_days_count(spark, tmp_path):
+    from tidemill.streaming.events import ORACLES, late_dropped
+
+    rows = [(1, "2024-01-01 10:00:00"), (50, "2024-01-01 11:00:00"), (2, "2024-01-02 10:00:00"), (3, "2024-01-03 12:00:00"), (100, "2024-01-03 13:00:00"), (150, "2024-01-04 13:00:00")]
+    events = spark.createDataFrame(rows, "event_id long, at string").selectExpr("event_id", "cast(at as timestamp_ntz) as ts")
+    events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    df = late_dropped(spark, str(tmp_path))
+    same(df, str(tmp_path), ORACLES["stream_late"])
+    assert sorted((str(r.start)[:10], r.n) for r in df.collect()) == [("2024-01-01", 1), ("2024-01-02", 1), ("2024-01-03", 2)]

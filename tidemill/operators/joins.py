@@ -39,6 +39,19 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], on: str, wid
     return binned.join(other, condition).drop("bin", "r_stamp")
 
 
+def band_join(left: DataFrame, right: DataFrame, on: str, width: float) -> DataFrame:
+    """Pairs whose right `on` is above the left one by at most `width`, with no key that must be equal.
+
+    Values are cut into bands of that width and joined on the band, so Spark hashes bands instead of comparing all rows with
+    all; each right row meets two bands alone. Nulls and NaN meet nothing. Right columns are prefixed with r_.
+    """
+    banded = left.where(~F.isnan(F.col(on).cast("double"))).withColumn("band", F.floor(F.col(on) / width))
+    other = right.where(~F.isnan(F.col(on).cast("double"))).select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    other = other.withColumn("r_band", F.explode(F.array(*(F.floor(F.col(f"r_{on}") / width) - k for k in (0, 1)))))
+    above = (F.col(f"r_{on}") > F.col(on)) & (F.col(f"r_{on}") - F.col(on) <= width)
+    return banded.join(other, (F.col("band") == F.col("r_band")) & above).drop("band", "r_band")
+
+
 def small_or_merge(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, limit: int = 50_000) -> DataFrame:
     """Joins with a broadcast of the right side if it has at most `limit` rows (`rows` is its count), else by sort-merge."""
     return left.join(F.broadcast(right) if rows <= limit else right.hint("merge"), on, how)

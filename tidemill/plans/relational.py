@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.stats import geometric_mean, skewness, softsign
-from tidemill.operators.joins import asof_join, interval_join, small_or_merge, top_k
+from tidemill.operators.joins import asof_join, band_join, interval_join, small_or_merge, top_k
 from tidemill.sources.tables import partitioned, table, through
 from tidemill.streaming import events as streams
 
@@ -181,6 +181,12 @@ def join_theta(spark, sf_dir):
     return pairs.groupBy(F.col("a.s_nationkey").alias("s_nationkey")).agg(F.count("*").alias("pairs"))
 
 
+@query("SELECT a.s_suppkey, b.s_suppkey AS r_s_suppkey FROM supplier a JOIN supplier b ON b.s_acctbal > a.s_acctbal AND b.s_acctbal - a.s_acctbal <= 64")
+def join_band(spark, sf_dir):
+    balances = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return band_join(balances, balances, "s_acctbal", 64).select("s_suppkey", "r_s_suppkey")
+
+
 @query("""SELECT c.user_id, c.event_id, p.event_id AS r_event_id FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click'
     AND p.event_type = 'purchase' AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 30 MINUTE""")
 def join_interval(spark, sf_dir):

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemill.sources.tables import shared_folder, table
 
@@ -85,9 +86,58 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
 
 
+class _Totals(StatefulProcessor):
+    """Events and the largest value of a user, in a value state that has a schema and outlives restarts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "n long, top double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names that Spark gives
+        n, top = self.total.get() if self.total.exists() else (0, float("-inf"))
+        for frame in rows:
+            n, top = n + len(frame), max(top, float(frame["value"].max()))
+        self.total.update((n, top))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
+
+    def close(self) -> None:
+        pass
+
+
+def transformed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """running_totals by a stateful processor, whose state needs the RocksDB store; the session's own store is put back."""
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rocks)
+    try:
+        rows = stream(spark, sf_dir).select("user_id", "value").groupBy("user_id")
+        seen = run_to_end(rows.transformWithStateInPandas(_Totals(), "user_id long, n long, top double", "update", "none"), "update")
+    finally:
+        spark.conf.set(name, before)
+    return seen.groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+
+
+def late_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each day as a watermark of ten minutes closes it, when every fiftieth event comes after all others.
+
+    The events come in two deliveries to one folder, and the stream takes up its checkpoint for the second. Late events
+    of a day that the watermark has closed are dropped; those of the day still open count. Days still open at the end
+    aren't given out.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    source, state, path = (shared_folder(spark, name) for name in ("stream-late", "stream-state", "stream"))
+    late = F.col("event_id") % 50 == 0
+    for rows in (events.where(~late | late.isNull()), events.where(late)):
+        rows.write.mode("append").parquet(source)
+        days = spark.readStream.schema(events.schema).parquet(source).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+        write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        days.writeStream.outputMode("append").option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return _bounds(spark.read.schema(days.schema).option("recursiveFileLookup", "true").parquet(path))
+
+
 QUERIES = {
     "stream_tumbling": tumbling, "stream_sliding": sliding, "stream_session": sessions,
     "stream_dedup": deduplicated, "stream_join_interval": purchases_after_clicks, "stream_state": running_totals,
+    "stream_transform_state": transformed_totals, "stream_late": late_dropped,
 }
 ORACLES = {
     "stream_tumbling": """SELECT date_trunc('day', ts)::TIMESTAMP AS "start", (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS "end",
@@ -100,5 +150,10 @@ ORACLES = {
     "stream_dedup": "SELECT event_id, user_id, event_type FROM events",
     "stream_join_interval": """SELECT c.user_id, c.event_id AS click_id, p.event_id AS buy_id FROM events c JOIN events p ON c.user_id = p.user_id
         AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 10 MINUTE""",
+    "stream_transform_state": "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY user_id",
+    "stream_late": """WITH e AS (SELECT *, coalesce(event_id % 50 = 0, false) AS late, date_trunc('day', ts) + INTERVAL 1 DAY AS closing FROM events),
+        w AS (SELECT max(ts) FILTER (WHERE NOT late) - INTERVAL 10 MINUTE AS first, max(ts) - INTERVAL 10 MINUTE AS second FROM e)
+        SELECT date_trunc('day', ts)::TIMESTAMP AS "start", closing::TIMESTAMP AS "end", count(*) AS n FROM e, w
+        WHERE closing <= second AND (NOT late OR closing > first) GROUP BY ALL""",
     "stream_state": "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY user_id",
 }
