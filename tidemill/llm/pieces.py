@@ -289,8 +289,19 @@ class _Node:
     barred: dict[bytes, float] = field(compare=False)
 
 
+def _log_inclusion(x: float) -> float:
+    """The logarithm of 1 - exp(-exp(x)), which is x itself where that is too small for a float."""
+    return float(x if x < -37 else np.log(-np.expm1(-np.exp(min(x, 50.0)))))
+
+
 def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
-    """text number, rank, piece ids, log probability and inclusion score of up to k distinct segmentations of each text.
+    """As log_sample_texts, with the inclusion score itself in place of its logarithm."""
+    for d, rank, ids, log, log_inclusion in log_sample_texts(lattices, texts, keys, k):
+        yield d, rank, ids, log, float(np.exp(log_inclusion))
+
+
+def log_sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
+    """text number, rank, piece ids, log probability and log inclusion score of up to k distinct segmentations of each text.
 
     A text with fewer segmentations gives them all. An empty text has the one piece of the space before it.
     """
@@ -350,7 +361,7 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
     for d, found in enumerate(done):
         threshold = -heaps[d][0].cost if heaps[d] else -np.inf
         for rank, (_, log) in enumerate(found):
-            yield d, rank, ids[cuts[at] : cuts[at + 1]], log, float(-np.expm1(-np.exp(min(log - threshold, 50.0))))
+            yield d, rank, ids[cuts[at] : cuts[at + 1]], log, _log_inclusion(log - threshold)
             at += 1
 
 
@@ -388,11 +399,12 @@ def lattices_of(path: str) -> Lattices:
 
 
 def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
-    """doc_id, rank (0 to k - 1), ids, log_probability and inclusion of up to k distinct segmentations of each row's text.
+    """doc_id, rank (0 to k - 1), ids, log_probability, inclusion and log_inclusion of up to k distinct segmentations of each row's text.
 
     With `decode`, also `decoded`: the text that the ids give, decoded where they were drawn.
 
-    inclusion: the chance that the segmentation is among the k, given the threshold 1 - exp(-exp(log p - threshold)).
+    inclusion: the chance that the segmentation is among the k, given the threshold 1 - exp(-exp(log p - threshold)). Long
+    texts have so many segmentations that it is too small for a double, hence 0; log_inclusion is its logarithm.
     The draw depends on the seed, the id and the text alone. Null texts count as empty; null ids and repeated rows stay
     (repeated rows draw alike). Texts without other segmentations give fewer than k rows. Other columns are not read.
     """
@@ -403,7 +415,7 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_co
         for batch in batches:
             texts, keys, ids = batch["text"].to_pylist(), batch["row_key"].to_numpy().view(np.uint64), batch["doc_id"]
             for a, b in slices(texts, SLICE):
-                found = list(sample_texts(lattices_of(model), texts[a:b], keys[a:b], k))
+                found = list(log_sample_texts(lattices_of(model), texts[a:b], keys[a:b], k))
                 offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in found])])
                 drawn = np.concatenate([x[2] for x in found])
                 columns = {
@@ -411,14 +423,15 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_co
                     "rank": pa.array([x[1] for x in found], pa.int32()),
                     "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(drawn.astype(np.int32))),
                     "log_probability": pa.array([x[3] for x in found], pa.float64()),
-                    "inclusion": pa.array([x[4] for x in found], pa.float64()),
+                    "inclusion": pa.array(np.exp([x[4] for x in found]), pa.float64()),
+                    "log_inclusion": pa.array([x[4] for x in found], pa.float64()),
                 }
                 if decode:
                     columns["decoded"] = pa.array(decode_ids(vocabulary_of(model), drawn.astype(np.int64), np.diff(offsets)), pa.string())
                 del found
                 yield pa.record_batch(columns)
 
-    return rows.mapInArrow(run, "doc_id long, rank int, ids array<int>, log_probability double, inclusion double" + (", decoded string" if decode else ""))
+    return rows.mapInArrow(run, "doc_id long, rank int, ids array<int>, log_probability double, inclusion double, log_inclusion double" + (", decoded string" if decode else ""))
 
 
 def decoded(ids: Column, model: str) -> Column:

@@ -31,7 +31,7 @@ def _piece_columns(docs: DataFrame) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     found = sampled_pieces(docs, model, k=2, decode=True)
     return found.select(
-        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "log_probability", "inclusion"
+        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "log_probability", "inclusion", "log_inclusion"
     )
 
 
