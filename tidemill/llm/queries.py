@@ -118,5 +118,12 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf, "op10_pitman_yor": op10_pitman_yor}
+def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those that differ in at most four bits."""
+    from tidemill.llm.simhash import near_copies
+
+    return near_copies(_documents(spark, sf_dir), width=4, radius=4)
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf, "op10_pitman_yor": op10_pitman_yor, "op13_simhash_trees": op13_simhash_trees}
 ORACLES: dict[str, str] = {}
