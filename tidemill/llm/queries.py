@@ -118,6 +118,27 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of each benchmark item, by bounds from bit-sliced signatures."""
+    from tidemill.llm.lexical_search import search
+
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+sized AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sized),
+asked AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+part AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l)))) AS part FROM tf JOIN sized USING (r) JOIN weight USING (term), total),
+scored AS (SELECT q, item_id, r, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM asked JOIN part USING (term) GROUP BY ALL HAVING sum(times * part) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10"""
+
+
 def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that differ in at most four bits."""
     from tidemill.llm.simhash import near_copies
@@ -125,5 +146,5 @@ def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_documents(spark, sf_dir), width=4, radius=4)
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf, "op10_pitman_yor": op10_pitman_yor, "op13_simhash_trees": op13_simhash_trees}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf, "op10_pitman_yor": op10_pitman_yor, "op11_lexical_search": op11_lexical_search, "op13_simhash_trees": op13_simhash_trees}
+ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL}
