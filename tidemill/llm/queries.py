@@ -139,6 +139,29 @@ scored AS (SELECT q, item_id, r, doc_id, CAST(sum(times * part) AS BIGINT) AS sc
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10"""
 
 
+def op12_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language, over all documents."""
+    from tidemill.llm.collocations import collocations
+
+    return collocations(_documents(spark, sf_dir), least=100, top=2_000)
+
+
+OP12_SQL = f"""
+WITH piece AS (SELECT lang, row_number() OVER () AS p, ws FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))),
+size AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM piece GROUP BY lang),
+window_ AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM piece, (SELECT unnest([1, 2, 3, 4, 5]) AS k))),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM window_ GROUP BY lang, k, phrase HAVING count(*) >= 100),
+inner_ AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, ws, a, j, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM f WHERE k > 2)) GROUP BY ALL),
+cut AS (SELECT lang, phrase, a, c, array_to_string(ws[1:c], ' ') AS head, array_to_string(ws[c + 1:], ' ') AS tail FROM (SELECT f.*, unnest(range(1, k)) AS c
+  FROM f LEFT JOIN inner_ USING (lang, phrase) WHERE k > 1 AND (longer IS NULL OR longer < a))),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, l.a AS l, r.a AS r, n, c, CAST((1000::HUGEINT * cut.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = head JOIN f r ON r.lang = cut.lang AND r.phrase = tail JOIN size ON size.lang = cut.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000"""
+
+
 def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that differ in at most four bits."""
     from tidemill.llm.simhash import near_copies
@@ -146,5 +169,5 @@ def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_documents(spark, sf_dir), width=4, radius=4)
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf, "op10_pitman_yor": op10_pitman_yor, "op11_lexical_search": op11_lexical_search, "op13_simhash_trees": op13_simhash_trees}
-ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL}
+QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf, "op10_pitman_yor": op10_pitman_yor, "op11_lexical_search": op11_lexical_search, "op12_phrase_tries": op12_phrase_tries, "op13_simhash_trees": op13_simhash_trees}
+ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL, "op12_phrase_tries": OP12_SQL}
