@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tests.compare import same
+from tidemill.llm import collocations as module
 from tidemill.llm.collocations import Texts, Trie, collocations, phrase_counts
 from tidemill.llm.queries import ORACLES, QUERIES
 
@@ -60,9 +61,10 @@ def rows(df):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize("least, top, trie_phrases, set_bits", [(5, 50, 1 << 18, 1 << 26), (3, 2_000, 40, 1 << 26), (4, 2_000, 1 << 18, 64)])
-def test_phrases(spark, least, top, trie_phrases, set_bits):
-    """Also with many tries, and with sets so small that they let every pair through."""
+@pytest.mark.parametrize("least, top, trie_phrases, set_bits, tries", [(5, 50, 1 << 18, 1 << 26, 16), (3, 2_000, 40, 1 << 26, 16), (3, 2_000, 40, 1 << 26, 2), (4, 2_000, 1 << 18, 64, 16)])
+def test_phrases(spark, monkeypatch, least, top, trie_phrases, set_bits, tries):
+    """Also with many tries, with more candidates than all tries take, and with sets so small that they let every pair through."""
+    monkeypatch.setattr(module, "TRIES", tries)
     docs = made()
     table = spark.createDataFrame([(*d, "clash", "clash") for d in docs], "lang string, text string, phrase string, n string").repartition(5)
     assert rows(collocations(table, least=least, top=top, trie_phrases=trie_phrases, set_bits=set_bits)) == plain(docs, least, top)

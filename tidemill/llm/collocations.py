@@ -7,6 +7,7 @@ moves the states of all positions of its texts one word on at a time and counts
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ _INSIDE = ~(_BREAK | np.isin(np.arange(256), [9, 32]))
 LONGEST = 5
 #: Bits of a broadcast set of hashes (8 MB). More entries than it has room for let more candidates through, never fewer.
 SET_BITS = 1 << 26
-#: Phrases of one trie, at most; further ones go to further tries, each of which is counted in a pass over the texts.
-TRIE_PHRASES = 1 << 18
+#: Phrases of one trie, about, and tries, each of which is counted in a pass over the texts. Candidates beyond all tries keep the
+#: sums of their windows, which are exact as well, so passes don't grow with the corpus.
+TRIE_PHRASES, TRIES = 1 << 18, 16
 
 
 class Texts:
@@ -133,7 +135,8 @@ class Trie:
     def __init__(self, phrases: list[tuple[str, str]]):
         rows = [(lang, *phrase.split(" ")) for lang, phrase in phrases]
         self.langs = pa.array(sorted({r[0] for r in rows}), pa.large_string())
-        self.words = pa.array(sorted({w for r in rows for w in r[1:]}), pa.large_string())
+        seen = Counter(w for r in rows for w in r[1:])
+        self.words = pa.array(sorted(seen, key=lambda w: (-seen[w], w)), pa.large_string())  # the commonest first, so that children lie close
         of_lang, of_word = ({x: i for i, x in enumerate(c.to_pylist())} for c in (self.langs, self.words))
         paths = np.full((len(rows), LONGEST + 1), -1, dtype=np.int64)
         for i, r in enumerate(rows):
@@ -156,23 +159,24 @@ class Trie:
         children = np.bincount(parent[1:], minlength=count)
         first = np.concatenate([[0], np.cumsum(children)])
         base_of = np.zeros(count, dtype=np.int64)
-        used = np.zeros(2 * count + width + 1, dtype=bool)
+        used = np.zeros(2 * count + 2 * width, dtype=bool)
         used[0] = True
-        free = 1  # no free slot is before it
+        at = 1  # only goes on; what is left free behind it takes the nodes of one child
         for x in np.flatnonzero(children > 1)[np.argsort(-children[children > 1], kind="stable")].tolist():
             kids = order[first[x] : first[x + 1]]
-            c = symbol[kids]
-            while used[free]:
-                free += 1
-            at = free
+            shift = symbol[kids] - symbol[kids[0]]
+            look = 64
             while True:
-                if at + c[-1] - c[0] >= len(used):
-                    used = np.concatenate([used, np.zeros(len(used), dtype=bool)])
-                if not used[at + c - c[0]].any():
+                if at + look + width >= len(used):
+                    used = np.concatenate([used, np.zeros(len(used) + look, dtype=bool)])
+                places = at + np.flatnonzero(~used[at : at + look])
+                fits = np.flatnonzero(~used[places[:, None] + shift].any(axis=1)) if len(places) else places
+                if len(fits):
                     break
-                at += 1
-            base_of[x] = at - c[0]
-            slot[kids] = at + c - c[0]
+                at, look = at + look, min(look * 2, 4_096)
+            at = int(places[fits[0]])
+            base_of[x] = at - symbol[kids[0]]
+            slot[kids] = at + shift
             used[slot[kids]] = True
         single = np.flatnonzero(children == 1)
         gaps = np.flatnonzero(~used)
@@ -182,7 +186,7 @@ class Trie:
         slot[kids] = gaps[: len(single)]
         base_of[single] = slot[kids] - symbol[kids]
         size = int(slot.max()) + 1
-        self.base, self.check, self.accept = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64)
+        self.base, self.check, self.accept = np.zeros(size, dtype=np.int32), np.full(size, -1, dtype=np.int32), np.full(size, -1, dtype=np.int32)
         self.base[slot], self.check[slot[1:]] = base_of, slot[parent[1:]]
         self.leaf = np.zeros(size, dtype=bool)
         self.leaf[slot] = children == 0
@@ -239,11 +243,13 @@ def phrase_counts(docs: DataFrame, least: int, trie_phrases: int = TRIE_PHRASES,
     found = spark.sparkContext.broadcast(_set(pairs.select("pair"), set_bits))
     held.unpersist()
     candidates = _each(docs, _windows(found), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    candidates = written(candidates.select("lang", "phrase", F.xxhash64("lang", "phrase").alias("h")), "phrase-candidates")
+    candidates = written(candidates.withColumn("h", F.xxhash64("lang", "phrase")), "phrase-candidates")
     found.unpersist()
     tries = -(-candidates.count() * 5 // (trie_phrases * 4))  # a quarter of room for uneven hashes
     counted = often.select("lang", F.col("word").alias("phrase"), "n")
-    for part in range(tries):
+    if tries > TRIES:
+        counted = counted.unionByName(candidates.where(F.pmod("h", F.lit(tries)) >= TRIES).select("lang", "phrase", "n"))
+    for part in range(min(tries, TRIES)):
         mine = candidates.where(F.pmod("h", F.lit(tries)) == part).select("lang", "phrase").toArrow()
         phrases = list(zip(mine.column(0).to_pylist(), mine.column(1).to_pylist()))
         if not phrases:
@@ -253,8 +259,9 @@ def phrase_counts(docs: DataFrame, least: int, trie_phrases: int = TRIE_PHRASES,
         counts = written(named.join(_trie_counts(docs, trie), "id").select("lang", "phrase", "n"), "phrase-counts")
         trie.unpersist()
         counted = counted.unionByName(counts)
+    counted = written(counted.where(F.col("n") >= least), "phrase-frequent")
     dropped(candidates)
-    return totals, written(counted.where(F.col("n") >= least), "phrase-frequent")
+    return totals, counted
 
 
 def _part(words: Column, first: Column | int, length: Column | int) -> Column:
