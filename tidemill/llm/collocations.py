@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ SET_BITS = 1 << 26
 #: Phrases of one trie, about, and tries, each of which is counted in a pass over the texts. Candidates beyond all tries keep the
 #: sums of their windows, which are exact as well, so passes don't grow with the corpus.
 TRIE_PHRASES, TRIES = 1 << 18, 16
+#: Phrases whose counts travel as one row.
+BLOCK = 4_096
 
 
 class Texts:
@@ -218,18 +221,38 @@ class Trie:
 
 
 def _trie_counts(docs: DataFrame, trie: Broadcast) -> DataFrame:
-    """id and n of the trie's phrases; one row of a phrase for each task at most, summed by Spark."""
+    """id and n of the trie's phrases. A task gives one packed row for each BLOCK of phrases that it has seen any of; blocks are summed as rows stream by."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 n = trie.value.count(Texts(batch.column(0)[a:b], batch.column(1)[a:b]))
-                total = n if total is None else total + n
-        some = np.flatnonzero(total) if total is not None else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some] if total is not None else some)], names=["id", "n"])
-
-    return docs.mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+                total = n if not len(total) else total + n
+        some = np.flatnonzero(total)
+        blocks = np.unique(some // BLOCK)
+        bounds = np.searchsorted(some, np.append(blocks, blocks[-1:] + 1) * BLOCK)
+        blobs = [(some[a:b] % BLOCK).astype("<u2").tobytes() + total[some[a:b]].astype("<i8").tobytes() for a, b in pairwise(bounds)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(blobs, pa.binary())], names=["block", "counts"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(open_ * BLOCK + at), pa.array(total[at])], names=["id", "n"])
+
+        open_, total = None, np.zeros(BLOCK, dtype=np.int64)
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != open_ and open_ is not None:
+                    yield told()
+                    total[:] = 0
+                open_, n = block, len(blob) // 10
+                total[np.frombuffer(blob, "<u2", n)] += np.frombuffer(blob, "<i8", n, 2 * n)
+        if open_ is not None:
+            yield told()
+
+    packed = docs.mapInArrow(of, "block long, counts binary")
+    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(sums, "id long, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int, trie_phrases: int = TRIE_PHRASES, set_bits: int = SET_BITS) -> tuple[DataFrame, DataFrame]:
