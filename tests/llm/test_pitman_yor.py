@@ -53,15 +53,46 @@ def test_distribution_sums_to_one():
             assert abs((own.sum() + t.spare()[k] * t.unseen()) / (t.strength + t.customers[k]) - 1) < 1e-9
 
 
-def test_tables_follow_their_exact_conditional():
-    c, mass, d = 5, 0.8, 0.6
-    key = np.arange(40_000, dtype=np.uint64) * np.uint64(977)
-    got = np.bincount(py.draw_tables(np.full(len(key), c), np.full(len(key), mass), d, py.stirling_logs(d), key, 3), minlength=c + 1) / len(key)
-    weight = {1: {1: 1.0}}
+def weights(c, mass, d):
+    """The chances of 1 to c tables by the recurrence of the generalised Stirling numbers."""
+    logs = np.full(c + 1, -np.inf)
+    logs[1] = 0
     for n in range(1, c):
-        weight[n + 1] = {t: weight[n].get(t - 1, 0) + (n - d * t) * weight[n].get(t, 0) for t in range(1, n + 2)}
-    want = np.array([0, *(weight[c][t] * mass**t for t in range(1, c + 1))])
-    assert np.abs(got - want / want.sum()).max() < 0.01
+        t, new = np.arange(1, n + 2), np.full(c + 1, -np.inf)
+        with np.errstate(divide="ignore"):
+            new[1 : n + 2] = np.logaddexp(logs[t - 1], logs[t] + np.log(np.maximum(n - d * t, 1e-300)))
+        logs = new
+    p = logs + np.arange(c + 1) * math.log(mass)
+    p = np.exp(p - p.max())
+    return p / p.sum()
+
+
+def drawn(c, mass, d, n=40_000):
+    key = np.arange(n, dtype=np.uint64) * np.uint64(977)
+    return py.draw_tables(np.full(n, c), np.full(n, float(mass)), d, key, 3)
+
+
+@pytest.mark.parametrize("c, mass, d", [(2, 0.8, 0.6), (5, 0.8, 0.6), (5, 50, 0.9), (25, 5, 0.8), (30, 100, 0.3)])
+def test_tables_follow_their_exact_conditional(c, mass, d):
+    got = np.bincount(drawn(c, mass, d), minlength=c + 1) / 40_000
+    assert np.abs(got - weights(c, mass, d)).max() < 0.01
+
+
+@pytest.mark.parametrize("c", [100, 400, 5_000])
+@pytest.mark.parametrize("mass, d", [(5, 0.5), (5, 0.8), (50, 0.8), (50, 0.5), (20, 0.3), (300, 0.95), (2_000, 0.5), (0.01, 0.1), (100_000, 0.2)])
+def test_mean_and_spread_at_any_count(c, mass, d):
+    p, got = weights(c, mass, d), drawn(c, mass, d)
+    mean = (p * np.arange(c + 1)).sum()
+    spread = math.sqrt((p * (np.arange(c + 1) - mean) ** 2).sum())
+    assert abs(got.mean() - mean) < 0.01 * mean and abs(got.std() - spread) < 0.05 * spread
+    assert got.min() >= 1 and got.max() <= c
+
+
+def test_no_bound_on_customers():
+    """Far above the rows kept one by one, tables come to one and a Poisson number of mean mass / discount."""
+    for c in (10**6, 10**12, 10**15):
+        got = drawn(c, 5, 0.8)
+        assert abs(got.mean() - 7.25) < 0.1 and abs(got.std() - 2.5) < 0.1
 
 
 def test_nothing_learnt_and_empty(spark):

@@ -5,9 +5,8 @@ its parent, and a restaurant of the word before has its class as its parent, so
 of words go by class and hash, one for every `chars_per_restaurant` characters of the corpus: frequent words have one
 almost to themselves, rare ones of a class sit together, and their number grows with the input. Seating is
 summed up by the tables of each word in each restaurant. A Gibbs sweep draws a word's tables in every restaurant given its
-parent's probability (the exact conditional for up to EXACT customers, from generalised Stirling numbers; customers beyond
-sit down in blocks), from the words before up to the root; a restaurant's customers are the tables below it. Totals of
-the root and the classes come from the pass before, those of a word's restaurant from the seating with one table a word.
+parent's probability (by the weights of generalised Stirling numbers, at any number of customers), from the words before up
+to the root; a restaurant's customers are the tables below it. Totals of the root and the classes come from the pass before, those of a word's restaurant from the seating with one table a word.
 Retained sweeps each give a seating, and their mean is the model; it sums to one over all words and an unseen one.
 
 Distribution: texts are packed into chunks, whose words are numbered within the chunk in the order of their hashes. The
@@ -21,10 +20,11 @@ the corpus; the distinct restaurants that one word sits in are in one bucket.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import dropped, fold, mixed, slices, uniform, word_column, word_hashes, written
 
-#: Context classes (0: start of a text), customers of one word seated exactly, characters of a chunk.
-CLASSES, EXACT, CHUNK_CHARS = 32, 24, 14_000_000
+#: Context classes (0: start of a text), characters of a chunk.
+CLASSES, CHUNK_CHARS = 32, 14_000_000
+#: Tables whose weights are summed up one by one; customers, each with weights of its own, and octaves above them.
+WIDEST, ROWS, OCTAVES = 512, 4_096, 32
+LOG_FACTORIALS = np.array([math.lgamma(t + 1) for t in range(WIDEST)])
 #: Characters of the corpus for each bucket, where there are not more shuffle partitions.
 BUCKET_CHARS = 4_000_000
 #: Stands for the end of a text among the hashes of words.
@@ -168,53 +171,118 @@ class Totals:
         return self.strength + self.discount * self.tables
 
 
-def stirling_logs(discount: float, most: int = EXACT) -> np.ndarray:
-    """Logarithms of the generalised Stirling numbers S(c, t), the weights of seating c customers at t tables."""
-    out = np.full((most + 1, most + 2), -np.inf)
-    out[1, 1] = 0
-    for c in range(1, most):
-        t = np.arange(1, c + 2)
-        with np.errstate(divide="ignore"):
-            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, t - 1], out[c, t] + np.log(np.maximum(c - discount * t, 1e-300)))
-    return out
-
+@lru_cache(maxsize=8)
+def thinned(discount: float) -> np.ndarray:
+    """Logarithms of Q(c, t), one row for each count c of customers up to ROWS and then for each quarter of an octave, t up to WIDEST.
 
-def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, logs: np.ndarray, key: np.ndarray, counter: int) -> np.ndarray:
-    """Tables of one word in one restaurant given its customers; mass: (strength + discount * tables) * parent's probability."""
+    The generalised Stirling numbers S(c, t), which weigh the ways to seat c customers at t tables, are S(c, 1) Q(c, t) /
+    (discount^(t-1) (t-1)!). Their recurrence makes Q(c + 1, t) a mean of Q(c, t) and Q(c, t - 1), the latter with weight
+    a = discount (t - 1) / (c - discount): each of t - 1 things dies at a rate that falls with c. So over many customers at
+    once Q(c', t) is the mean of Q(c, 1 + survivors), survivors being binomial.
+    """
+    t = np.arange(WIDEST + 1)
+    q = np.where(t == 1, 1.0, 0.0)
+    rows = [np.zeros(WIDEST + 1), q]
+    for c in range(1, ROWS):
+        a = discount * (t - 1) / (c - discount)
+        q = q + a * (np.roll(q, 1) - q)
+        q[0] = 0
+        q[c + 2 :] = 0  # no more tables than customers
+        rows.append(q)
+    gammas = np.array([math.lgamma(x + 1) for x in range(WIDEST + 1)])
+    n, k = t[1:, None] - 1, t[None, 1:] - 1
+    choose = np.where(k <= n, gammas[n] - gammas[np.minimum(k, n)] - gammas[np.maximum(n - k, 0)], -np.inf)
+    c = float(ROWS)
+    for step in range(1, 4 * OCTAVES + 1):
+        new = ROWS * 2.0 ** (step / 4)
+        # the chance to outlive all customers from c to new: a product of 1 - discount / (i - discount)
+        live = discount * math.log((c - 1.5 * discount - 0.5) / (new - 1.5 * discount - 0.5))
+        q = np.concatenate([[0.0], np.exp(choose + k * live + (n - k) * math.log(-math.expm1(live))) @ q[1:]])
+        rows.append(q)
+        c = new
+    with np.errstate(divide="ignore"):
+        return np.log(np.array(rows)).astype(np.float32)
+
+
+def _few(customers: np.ndarray, log_mean: np.ndarray, u: np.ndarray, logs: np.ndarray, width: int) -> np.ndarray:
+    """Tables by inverting the sum of the weights of 1 to `width` tables."""
+    octave = 4 * np.log2(np.maximum(customers, ROWS) / ROWS)
+    low = np.minimum(octave.astype(np.int64), 4 * OCTAVES - 1)
+    row = np.minimum(customers, ROWS) + low
+    t = np.arange(width)
+    weight = logs[row, 1 : width + 1].astype(np.float64)
+    far = np.flatnonzero(customers > ROWS)
+    if len(far):
+        part = (octave - low)[far, None]
+        weight[far] = (1 - part) * weight[far] + part * logs[row[far] + 1, 1 : width + 1]
+    weight = weight + log_mean[:, None] * t - LOG_FACTORIALS[:width]
+    weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+    return 1 + (weight < (u * weight[:, -1])[:, None]).sum(axis=1).clip(max=width - 1)
+
+
+def _many(customers: np.ndarray, mass: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of the tables where they are many: a Poisson number of tables given the sum of their sizes.
+
+    A table's size is Sibuya's, whose generating function is 1 - (1 - x)^discount; x is such that the sum's mean is the
+    number of customers, the law is normal but for a shift of less than one table.
+    """
+    log_s = np.full(len(customers), -1e-3)  # of 1 - x, by Newton's steps on a concave function
+    target = np.log(customers) - np.log(mass)
+    for _ in range(60):
+        s = np.exp(log_s)
+        off = np.log1p(-s) - (1 - discount) * log_s - target
+        log_s = np.minimum(log_s + off / (s / (1 - s) + 1 - discount), 0.5 * log_s)
+    s, d = np.exp(log_s), discount
+    x, f = 1 - s, -np.expm1(d * log_s)
+    one, two, three = d * s ** (d - 1), d * (1 - d) * s ** (d - 2), d * (1 - d) * (2 - d) * s ** (d - 3)  # derivatives of f
+    m1, m2, m3 = x * one / f, (x * one + x * x * two) / f, (x * one + 3 * x * x * two + x**3 * three) / f
+    mean = mass / d * f
+    return mean + np.clip((m1 * m3 / m2**2 - 1) / 2, -1, 1), np.sqrt(mean * (1 - m1 * m1 / m2))
+
+
+def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, key: np.ndarray, counter: int) -> np.ndarray:
+    """Tables of one word in one restaurant given its customers; mass: (strength + discount * tables) * parent's probability.
+
+    The chance of t tables is in proportion to S(c, t) mass^t, that of a Poisson number of mean mass / discount beside the
+    first one, weighed by Q(c, t). Up to WIDEST tables the weights are summed up, for any number of customers; where 256 or
+    more are to be expected and more than WIDEST possible, the law is taken as the normal one of its mean and spread.
+    """
     tables = np.minimum(customers, 1)
-    u, log_mass = uniform(key, counter), np.log(np.maximum(mass, 1e-300))
-    held = np.minimum(customers, EXACT)
-    for c in np.unique(held[held > 1]).tolist():
-        at = np.flatnonzero(held == c)
-        t = np.arange(1, c + 1)
-        weight = logs[c, 1 : c + 1] + log_mass[at, None] * t
-        weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-        tables[at] = 1 + (weight < (u[at] * weight[:, -1])[:, None]).sum(axis=1).clip(max=c - 1)
-    at, n, step = np.flatnonzero(customers > EXACT), EXACT, 1
-    seated = np.full(len(at), EXACT)
-    while len(at):  # blocks of customers, each with the chance of a new table that holds at its start
-        block = np.minimum(max(1, n // 16), customers[at] - seated)
-        p = mass[at] / (mass[at] + seated - discount * tables[at])
-        normal = np.sqrt(-2 * np.log(uniform(key[at], counter + (step << 20)))) * np.cos(2 * np.pi * uniform(key[at], counter + (step << 20) + (1 << 19)))
-        tables[at] += np.clip(np.rint(block * p + normal * np.sqrt(block * p * (1 - p))), 0, block).astype(np.int64)
-        seated += block
-        n, step = n + max(1, n // 16), step + 1
-        on = customers[at] > seated
-        at, seated = at[on], seated[on]
+    at = np.flatnonzero(customers > 1)
+    if not len(at):
+        return tables
+    n, u = customers[at], uniform(key[at], counter)
+    mean = np.maximum(mass[at], 1e-300) / discount
+    width = np.minimum(n, np.ceil(mean + 8 * np.sqrt(mean) + 14)).astype(np.int64)
+    wide = np.flatnonzero(width > WIDEST)
+    out = np.zeros(len(at), dtype=np.int64)
+    if len(wide):
+        most, spread = _many(n[wide], mass[at][wide], discount)
+        bulk = most > 256
+        normal = np.sqrt(-2 * np.log(uniform(key[at][wide], counter + (1 << 20)))) * np.cos(2 * np.pi * u[wide])
+        out[wide[bulk]] = np.clip(np.rint(most + spread * normal), 1, n[wide])[bulk].astype(np.int64)
+        width[wide] = np.where(bulk, 0, WIDEST)
+    logs, log_mean = thinned(discount), np.log(mean)
+    least = 0
+    for most in (2, 4, 8, 16, 24, 32, 64, 128, 256, WIDEST):
+        mine = np.flatnonzero((width > least) & (width <= most))
+        for part in (mine[i : i + 1_000_000 // most] for i in range(0, len(mine), 1_000_000 // most)):
+            out[part] = _few(n[part], log_mean[part], u[part], logs, most)
+        least = most
+    tables[at] = out
     return tables
 
 
 def sweeps(words: np.ndarray, row: np.ndarray, context: np.ndarray, customers: np.ndarray, totals: Totals, burn: int, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Retained seatings: tables of each (word, context), customers and tables of each word at the root."""
-    logs, root_logs = stirling_logs(totals.discount), stirling_logs(totals.root_discount)
     key, root_key = mixed(words[row] + context.astype(np.uint64)), mixed(words ^ END)
     spare, all_tables = totals.spare(), totals.tables.sum()
     parent = np.bincount(row, customers, len(words)) / max(totals.tokens, 1)
     for sweep in range(burn + keep):
-        tables = draw_tables(customers, spare[context] * parent[row], totals.discount, logs, key, sweep)
+        tables = draw_tables(customers, spare[context] * parent[row], totals.discount, key, sweep)
         below = np.bincount(row, tables, len(words)).astype(np.int64)
         root_mass = (totals.strength + totals.root_discount * totals.root) / (totals.words + 1)
-        root = draw_tables(below, np.full(len(words), root_mass), totals.root_discount, root_logs, root_key, sweep)
+        root = draw_tables(below, np.full(len(words), root_mass), totals.root_discount, root_key, sweep)
         parent = (below - totals.root_discount * root + root_mass) / (totals.strength + all_tables)
         if sweep >= burn:
             yield tables, below, root
@@ -260,18 +328,17 @@ class Table:
         """Retained seatings: tables of each drawn pair; customers and tables of each class; customers and tables of each word at the root."""
         at = self.drawn()
         cell, customers = self.cell[at], self.customers[at]
-        logs, class_logs, root_logs = stirling_logs(totals.pair_discount), stirling_logs(totals.discount), stirling_logs(totals.root_discount)
         pair_key, key, root_key = mixed(self.words[self.row[cell]] ^ mixed(self.names[at])), mixed(self.words[self.row] + self.context.astype(np.uint64)), mixed(self.words ^ END)
         own_spare, spare, all_tables = totals.strength + totals.pair_discount * self.tables[at], totals.spare(), totals.tables.sum()
         parent = self.whole() / max(totals.tokens, 1)
         of_class = parent[self.row]
         for sweep in range(burn + keep):
-            pairs = draw_tables(customers, own_spare * of_class[cell], totals.pair_discount, logs, pair_key, sweep)
+            pairs = draw_tables(customers, own_spare * of_class[cell], totals.pair_discount, pair_key, sweep)
             seated = self.singles + np.bincount(cell, pairs, len(self.context)).astype(np.int64)
-            tables = draw_tables(seated, spare[self.context] * parent[self.row], totals.discount, class_logs, key, sweep)
+            tables = draw_tables(seated, spare[self.context] * parent[self.row], totals.discount, key, sweep)
             below = np.bincount(self.row, tables, len(self.words)).astype(np.int64)
             root_mass = (totals.strength + totals.root_discount * totals.root) / (totals.words + 1)
-            root = draw_tables(below, np.full(len(self.words), root_mass), totals.root_discount, root_logs, root_key, sweep)
+            root = draw_tables(below, np.full(len(self.words), root_mass), totals.root_discount, root_key, sweep)
             parent = (below - totals.root_discount * root + root_mass) / (totals.strength + all_tables)
             of_class = (seated - totals.discount * tables + spare[self.context] * parent[self.row]) / (totals.strength + totals.customers[self.context])
             if sweep >= burn:
