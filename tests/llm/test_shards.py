@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from tidemill.llm import shards
 from tidemill.llm.shards import shuffled_shards
 
 ROWS = [(i, f"text {i % 7}") for i in range(100)] + [(None, "no id"), (5, None), (5, ""), (3, "dup"), (3, "dup"), (9, "ß" * 50_000)]
@@ -47,3 +48,15 @@ def test_copies_larger_than_a_bucket_fall_into_many(spark, monkeypatch):
         held = [sum((r.doc_id, r.text) == key for r in got if r.shard == s) for s in range(16)]
         assert min(held) > 0 and max(held) < 100
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+
+
+def test_buckets_keep_their_size_beyond_the_first_cells(spark, monkeypatch):
+    """Few cells to begin with: they are counted again in more of them, and no bucket holds twice what it should."""
+    monkeypatch.setattr("tidemill.llm.shards.CELLS", 16)
+    monkeypatch.setattr("tidemill.llm.shards.SMALL", 8)  # and their places are joined by a shuffle
+    rows = [(i, "x" * (60 + i % 80)) for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["sum(size)"] for r in shards._scattered(docs, 1, 20_000)[0].groupBy("bucket").sum("size").collect()]
+    assert len(sizes) > 15 and max(sizes) < 2 * 20_000
+    got = shuffled_shards(docs, bucket_bytes=20_000).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows and len({(r.shard, r.slot) for r in got}) == 4_000
