@@ -67,6 +67,35 @@ def test_log_probabilities_and_exhaustion(vocabulary):
             assert abs(want[ids] - log) < 1e-6
 
 
+@pytest.mark.parametrize("alpha", [0.25, 12.0, 16.0])
+def test_the_rarest_segmentations_are_given_too(alpha):
+    """All of them, though with a steep law of pieces their shares go down to 1e-90 and less."""
+    steep = p.Vocabulary(MODEL, alpha=alpha)
+    for text in ("thin", "of a", "cats"):
+        want = every_path(steep, text)
+        found = sample(steep, [text], len(want) + 3, seed=5)
+        assert {tuple(x[2].tolist()) for x in found} == set(want) and len(found) == len(want)
+        assert all(abs(want[tuple(x[2].tolist())] - x[3]) < 1e-6 * max(1, abs(x[3])) for x in found)
+        assert alpha < 1 or -600 < min(want.values()) < -50
+
+
+def test_what_paths_leave():
+    steep = p.Vocabulary(MODEL, alpha=12.0)
+    lattices, want = p.Lattices(steep), every_path(steep, "thin")
+    (number,) = lattices.places(p.segments(["thin"])[0]).tolist()
+    paths = {}
+    for seed in range(300):
+        edges, _, _, rest = lattices.draw(np.array([number]), np.array([seed], dtype=np.uint64), np.array([1], dtype=np.uint64))
+        ids = tuple(lattices.ids(edges)[0].tolist())
+        paths[ids] = edges.astype(np.int32)
+        others = np.exp(np.logaddexp.reduce([v for k, v in want.items() if k != ids]))
+        assert rest[0] == pytest.approx(others, rel=1e-9)
+    most = sorted(paths, key=lambda x: -want[x])[:3]
+    for n in range(1, len(most) + 1):
+        others = np.exp(np.logaddexp.reduce([v for k, v in want.items() if k not in most[:n]]))
+        assert lattices.left_by(number, [paths[x].tobytes() for x in most[:n]]) == pytest.approx(others, rel=1e-9)
+
+
 def test_first_draw_and_inclusion_follow_the_probabilities(vocabulary):
     want, n = every_path(vocabulary, "thin"), 4000
     keys = np.arange(n, dtype=np.uint64) * np.uint64(7919)

@@ -151,13 +151,14 @@ class Lattices:
 
     Nodes and edges of all segments lie one after the other, and `places` adds those of segments that are new. An edge
     has its source, its piece (or, below 0, -2 less the character that no piece holds), its log probability among the
-    edges that end where it does, and the running sum of theirs.
+    edges that end where it does, the running sum of theirs, and the probability of all others of them, summed without
+    differences: what a path leaves to all other paths is known to full precision, however little it is.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known = vocabulary, pa.array([], pa.large_string())
         self.room: dict[str, np.ndarray] = {}
-        for name, kind in (("first", "i4"), ("last", "i4"), ("source", "i4"), ("head", "i4"), ("tail", "i4"), ("piece", "i4"), ("log", "f8"), ("ladder", "f8")):
+        for name, kind in (("first", "i4"), ("last", "i4"), ("source", "i4"), ("head", "i4"), ("tail", "i4"), ("piece", "i4"), ("log", "f8"), ("ladder", "f8"), ("others", "f8")):
             self._append(name, np.zeros(0, dtype=kind))
 
     def _append(self, name: str, new: np.ndarray) -> None:
@@ -214,15 +215,25 @@ class Lattices:
         run = np.cumsum(share)
         ladder = run - np.repeat(run[heads] - share[heads], np.diff(bounds))
         ladder[bounds[1:] - 1] = 1.0  # the last edge of a node takes what rounding leaves
+        if len(heads):
+            n = np.diff(bounds)
+            most = np.repeat(np.maximum.reduceat(share, heads), n)
+            first_most = np.zeros(len(share), dtype=bool)
+            tops = np.flatnonzero(share == most)
+            first_most[tops[np.diff(np.repeat(heads, n)[tops], prepend=-1) != 0]] = True
+            others = np.repeat(np.add.reduceat(np.where(first_most, 0.0, share), heads), n)
+            others = np.where(first_most, others, others - share + most)
+        else:
+            others = share
         head, tail = np.full(len(total), -1), np.full(len(total), -1)  # the edges that end in a node
         head[target[heads]], tail[target[heads]] = heads, bounds[1:]
         nodes, edges = len(self.head), len(self.source)
-        for name, new in (("first", first + nodes), ("last", first + size + nodes), ("source", source + nodes), ("head", head + edges), ("tail", tail + edges), ("piece", piece), ("log", log), ("ladder", ladder)):
+        for name, new in (("first", first + nodes), ("last", first + size + nodes), ("source", source + nodes), ("head", head + edges), ("tail", tail + edges), ("piece", piece), ("log", log), ("ladder", ladder), ("others", others)):
             self._append(name, new)
 
-    def draw(self, which: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One path for each segment number: edges of all paths (segment after segment, in order), edges of each, log p."""
-        node, log = self.last[which], np.zeros(len(which))
+    def draw(self, which: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One path for each segment number: edges of all paths (segment after segment, in order), edges of each, log p, and the probability of all other paths."""
+        node, log, rest = self.last[which], np.zeros(len(which)), np.zeros(len(which))
         active, step, taken = np.arange(len(which)), 0, []
         while len(active):
             u = uniform(key[active], counter[active] * np.uint64(1 << 20) + np.uint64(step))
@@ -232,6 +243,7 @@ class Lattices:
                 edge[on] += 1
                 on = on[self.ladder[edge[on]] < u[on]]
             taken.append((active, edge))
+            rest[active] += np.exp(log[active]) * self.others[edge]
             log[active] += self.log[edge]
             node[active] = self.source[edge]
             active = active[node[active] > self.first[which[active]]]
@@ -241,7 +253,7 @@ class Lattices:
         owner, edge = owner[order], edge[order]
         n = np.bincount(owner, minlength=len(which))
         ends = np.cumsum(n)
-        return edge[np.repeat(ends - 1, n) - (np.arange(len(edge)) - np.repeat(ends - n, n))], n, log
+        return edge[np.repeat(ends - 1, n) - (np.arange(len(edge)) - np.repeat(ends - n, n))], n, log, rest
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids along the edges, bytes for what no piece holds, and how many each edge gives."""
@@ -255,28 +267,61 @@ class Lattices:
         out[out < 0] = np.concatenate(raw)
         return out, n
 
+    def remaining(self, segment: int, paths: list[np.ndarray]) -> tuple[dict[tuple[int, int], float], list[list[int]]]:
+        """What distinct paths (edges from the segment's end on) leave to others, of each step and group of them that agree so far.
+
+        Also each path's group by step; the one of step 0 is 0. Sums of what isn't taken, never differences.
+        """
+        groups = [[0] * len(paths)]
+        for step in range(max(map(len, paths))):
+            seen: dict[tuple[int, int], int] = {}
+            groups.append([seen.setdefault((g, int(path[step])), len(seen)) if step < len(path) else -1 for g, path in zip(groups[-1], paths)])
+        left: dict[tuple[int, int], float] = {}
+        for step in range(len(groups) - 1, -1, -1):
+            taken: dict[int, dict[int, float]] = {}
+            for path, own, after in zip(paths, groups[step], groups[min(step + 1, len(groups) - 1)]):
+                if step < len(path):
+                    taken.setdefault(own, {})[int(path[step])] = left[step + 1, after]
+                elif step == len(path):
+                    left[step, own] = 0.0
+            for own, edges in taken.items():
+                if len(edges) == 1:
+                    ((edge, below),) = edges.items()
+                    left[step, own] = float(self.others[edge] + np.exp(self.log[edge]) * below)
+                    continue
+                node = self.last[segment] if step == 0 else self.source[next(path[step - 1] for path, g in zip(paths, groups[step]) if g == own)]
+                share = np.exp(self.log[self.head[node] : self.tail[node]])
+                for edge, below in edges.items():
+                    share[edge - self.head[node]] *= below
+                left[step, own] = float(share.sum())
+        return left, groups
+
     def draw_other(self, segment: int, barred: dict[bytes, float], key: np.uint64, turn: int) -> tuple[np.ndarray | None, float]:
-        """A path of one segment that isn't barred, drawn by the share of each edge less what barred paths take of it."""
-        live = [np.frombuffer(path, dtype=np.int32)[::-1] for path in barred]
-        node, step, path = self.last[segment], 0, []
+        """A path of one segment that isn't barred, drawn by the share of each edge less what barred paths take of it; None if there is none."""
+        bars = [np.frombuffer(path, dtype=np.int32)[::-1] for path in barred]
+        left, groups = self.remaining(segment, bars)
+        live, node, step, path = range(len(bars)), self.last[segment], 0, []
         while node > self.first[segment]:
             edges = np.arange(self.head[node], self.tail[node])
             free = np.exp(self.log[edges])
-            for bar in live:
-                at = int(bar[step] - edges[0])
-                free[at] -= np.exp(self.log[bar[step:]].sum())
-            free = np.maximum(free, 0)
+            below = {int(bars[i][step]): left[step + 1, groups[step + 1][i]] for i in live}
+            for edge, share in below.items():
+                free[edge - edges[0]] *= share
             if not free.sum() > 0:
                 return None, 0.0
             with np.errstate(over="ignore"):
                 u = uniform(np.array([key], dtype=np.uint64) + np.uint64(turn) * _A, np.array([step + 1]))[0]
-            edge = int(edges[min(np.searchsorted(np.cumsum(free), u * free.sum()), len(edges) - 1)])
+            edge = int(edges[min(np.searchsorted(np.cumsum(free), u * free.sum()), np.flatnonzero(free)[-1])])
             path.append(edge)
-            live = [bar for bar in live if bar[step] == edge]
+            live = [i for i in live if bars[i][step] == edge]
             node, step = self.source[edge], step + 1
         path = np.array(path[::-1], dtype=np.int32)
         return path, float(self.log[path].sum())
 
+    def left_by(self, segment: int, paths: list[bytes]) -> float:
+        """The probability of all paths of a segment but these."""
+        return self.remaining(segment, [np.frombuffer(path, dtype=np.int32)[::-1] for path in paths])[0][0, 0]
+
 
 @dataclass(order=True)
 class _Node:
@@ -320,22 +365,25 @@ def log_sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k:
         spot = np.arange(ends[-1]) - np.repeat(ends - sizes - skip, sizes)  # number of the segment in its text
         doc = np.repeat(np.array([d for d, _ in nodes]), sizes)
         which, bounds = at[first[doc] + spot], list(zip((ends - sizes).tolist(), ends.tolist()))
-        edges, n, log = lattices.draw(which, keys[doc], (spot * (k + 1) + turn).astype(np.uint64))
+        edges, n, log, rest = lattices.draw(which, keys[doc], (spot * (k + 1) + turn).astype(np.uint64))
         cuts = np.concatenate([[0], np.cumsum(n)])
         other: dict[int, np.ndarray | None] = {}
         for x, ((d, node), (lo, _)) in enumerate(zip(nodes, bounds)):
             if node.barred and edges[cuts[lo] : cuts[lo + 1]].tobytes() in node.barred:
                 other[x], log[lo] = lattices.draw_other(int(which[lo]), node.barred, keys[d], turn)
-        before, rest = np.empty(len(log)), -np.expm1(log)  # of each segment's probability, what the path leaves
-        for (_, node), (lo, hi) in zip(nodes, bounds):
+        before = np.empty(len(log))  # rest: of each segment's probability, what the path leaves
+        for x, ((_, node), (lo, hi)) in enumerate(zip(nodes, bounds)):
             before[lo] = node.prefix_log
             np.cumsum(log[lo : hi - 1], out=before[lo + 1 : hi])
             before[lo + 1 : hi] += node.prefix_log
-            if node.barred:
-                rest[lo] -= sum(map(np.exp, node.barred.values()))
+            if node.barred and not (x in other and other[x] is None):
+                own = other[x] if x in other else edges[cuts[lo] : cuts[lo + 1]]
+                rest[lo] = -np.expm1(log[lo]) - sum(map(np.exp, node.barred.values()))
+                if rest[lo] < 1e-6:  # a difference would have lost its digits
+                    rest[lo] = lattices.left_by(int(which[lo]), [own.tobytes(), *node.barred])
         noise = -np.log(-np.log(uniform(keys[doc], spot * (k + 1) + turn + (1 << 40))))
         mass = before + np.log(np.maximum(rest, 1e-300)) + noise
-        value = np.where(rest < 1e-12, -np.inf, -np.logaddexp(np.repeat([node.cost for _, node in nodes], sizes), -mass))  # at most this node's own
+        value = np.where(rest <= 0, -np.inf, -np.logaddexp(np.repeat([node.cost for _, node in nodes], sizes), -mass))  # at most this node's own
         for x, ((d, node), (lo, hi)) in enumerate(zip(nodes, bounds)):
             own, starts = edges[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo]
             if x in other:
@@ -404,7 +452,8 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = 2, seed: int = 7, id_co
     With `decode`, also `decoded`: the text that the ids give, decoded where they were drawn.
 
     inclusion: the chance that the segmentation is among the k, given the threshold 1 - exp(-exp(log p - threshold)). Long
-    texts have so many segmentations that it is too small for a double, hence 0; log_inclusion is its logarithm.
+    texts have so many segmentations that it is too small for a double, hence 0; log_inclusion is its logarithm. However rare a
+    segmentation is, it is given where k asks for it, down to what a double holds (1e-300 of its segment's).
     The draw depends on the seed, the id and the text alone. Null texts count as empty; null ids and repeated rows stay
     (repeated rows draw alike). Texts without other segmentations give fewer than k rows. Other columns are not read.
     """
