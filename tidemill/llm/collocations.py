@@ -31,8 +31,8 @@ SET_BITS = 1 << 26
 #: Phrases of one trie, about, and tries, each of which is counted in a pass over the texts. Candidates beyond all tries keep the
 #: sums of their windows, which are exact as well, so passes don't grow with the corpus.
 TRIE_PHRASES, TRIES = 1 << 18, 16
-#: Phrases whose counts travel as one row.
-BLOCK = 4_096
+#: Phrases of a trie whose counts travel as one row; blocks of windows, at least; windows held before they are summed up.
+BLOCK, LEAST_BLOCKS, HELD = 4_096, 64, 1_000_000
 
 
 class Texts:
@@ -104,32 +104,84 @@ def _pair_counts(words: Broadcast):
     return of
 
 
-def _windows(pairs: Broadcast):
-    """Phrases all of whose pairs are in the set, and how often they occur."""
+def _windows(texts: Texts, pairs: np.ndarray, blocks: int) -> pa.Table:
+    """Phrases all of whose pairs are in the set, how often they occur, and the block that each belongs to."""
+    keys = texts.keys()
+    code = keys.copy()
+    fine = np.zeros(len(keys), dtype=bool)
+    fine[:-1] = texts.joined[:-1] & _in(pairs, _pairs(keys))
+    starts, phrases, langs, counts, block = np.arange(len(keys)), [], [], [], []
+    words = texts.distinct.to_pylist()
+    for k in range(2, LONGEST + 1):
+        starts = starts[starts + k - 1 < len(keys)]
+        starts = starts[fine[starts + k - 2]]  # pairs before that one were seen to be fine
+        with np.errstate(over="ignore"):
+            code[starts] = mixed(code[starts] * MIX_A + keys[starts + k - 1])
+        _, first, which, n = np.unique(code[starts], return_index=True, return_inverse=True, return_counts=True)
+        # equal codes of different words, if there are any, are told apart here
+        same = np.all([texts.at[starts + j] == texts.at[starts[first][which] + j] for j in range(k)] + [texts.lang[starts] == texts.lang[starts[first][which]]], axis=0)
+        n = n - np.bincount(which[~same], minlength=len(n))
+        at, n = np.concatenate([starts[first], starts[~same]]), np.concatenate([n, np.ones(np.count_nonzero(~same), dtype=np.int64)])
+        phrases += [" ".join([words[w] for w in row]) for row in texts.at[at[:, None] + np.arange(k)].tolist()]
+        langs.append(texts.lang[at])
+        counts.append(n)
+        block.append((code[at] % np.uint64(blocks)).astype(np.int64))
+    return pa.table({"block": np.concatenate(block), "lang": texts.langs.take(pa.array(np.concatenate(langs))), "phrase": pa.array(phrases, pa.large_string()), "n": np.concatenate(counts)})
+
+
+def _summed(parts: list[pa.Table], *keys: str) -> pa.Table:
+    return pa.concat_tables(parts).group_by(list(keys)).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+
+
+def _window_counts(docs: DataFrame, pairs: Broadcast, blocks: int, least: int) -> DataFrame:
+    """lang, phrase and n of the windows that occur `least` times. A task gives one packed row for each block of phrases, which are summed as rows stream by."""
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by("block")
+        found, first = np.unique(table.column("block").to_numpy(), return_index=True)
+        rows, blobs = table.drop_columns(["block"]).combine_chunks(), []
+        for a, b in pairwise([*first.tolist(), len(rows)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.take(pa.array(np.arange(a, b))))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(blobs, pa.binary())], names=["block", "counts"])
 
-    def of(texts: Texts) -> pa.RecordBatch:
-        keys = texts.keys()
-        code = keys.copy()
-        fine = np.zeros(len(keys), dtype=bool)
-        fine[:-1] = texts.joined[:-1] & _in(pairs.value, _pairs(keys))
-        starts, phrases, langs, counts = np.arange(len(keys)), [], [], []
-        words = texts.distinct.to_pylist()
-        for k in range(2, LONGEST + 1):
-            starts = starts[starts + k - 1 < len(keys)]
-            starts = starts[fine[starts + k - 2]]  # pairs before that one were seen to be fine
-            with np.errstate(over="ignore"):
-                code[starts] = mixed(code[starts] * MIX_A + keys[starts + k - 1])
-            _, first, which, n = np.unique(code[starts], return_index=True, return_inverse=True, return_counts=True)
-            # equal codes of different words, if there are any, are told apart here
-            same = np.all([texts.at[starts + j] == texts.at[starts[first][which] + j] for j in range(k)] + [texts.lang[starts] == texts.lang[starts[first][which]]], axis=0)
-            n = n - np.bincount(which[~same], minlength=len(n))
-            at, n = np.concatenate([starts[first], starts[~same]]), np.concatenate([n, np.ones(np.count_nonzero(~same), dtype=np.int64)])
-            phrases += [" ".join([words[w] for w in row]) for row in texts.at[at[:, None] + np.arange(k)].tolist()]
-            langs.append(texts.lang[at])
-            counts.append(n)
-        return pa.RecordBatch.from_arrays([texts.langs.take(pa.array(np.concatenate(langs))).cast(pa.string()), pa.array(phrases, pa.string()), pa.array(np.concatenate(counts))], names=["lang", "phrase", "n"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                parts.append(_windows(Texts(batch.column(0)[a:b], batch.column(1)[a:b]), pairs.value, blocks))
+                held += len(parts[-1])
+                if held > HELD:
+                    parts, held = [_summed(parts, "block", "lang", "phrase")], 0
+                    if len(parts[0]) > HELD // 2:
+                        yield packed(parts.pop())
+        if parts:
+            yield packed(_summed(parts, "block", "lang", "phrase"))
 
-    return of
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[pa.RecordBatch]:
+            table = _summed(parts, "lang", "phrase")
+            table = table.filter(pc.greater_equal(table.column("n"), least))
+            yield from table.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])).to_batches()
+
+        open_, parts, held = None, [], 0
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if block != open_ and parts:
+                    yield from told()
+                    parts, held = [], 0
+                open_ = block
+                parts.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                held += len(parts[-1])
+                if held > HELD:
+                    parts, held = [_summed(parts, "lang", "phrase")], 0
+        if parts:
+            yield from told()
+
+    rows = docs.mapInArrow(of, "block long, counts binary")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(sums, "lang string, phrase string, n long")
 
 
 class Trie:
@@ -265,7 +317,8 @@ def phrase_counts(docs: DataFrame, least: int, trie_phrases: int = TRIE_PHRASES,
     pairs = _each(docs, _pair_counts(held), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     found = spark.sparkContext.broadcast(_set(pairs.select("pair"), set_bits))
     held.unpersist()
-    candidates = _each(docs, _windows(found), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    blocks = max(LEAST_BLOCKS, (totals.agg(F.sum("n")).first()[0] or 0) // 500_000)  # in proportion to the corpus
+    candidates = _window_counts(docs, found, blocks, least)
     candidates = written(candidates.withColumn("h", F.xxhash64("lang", "phrase")), "phrase-candidates")
     found.unpersist()
     tries = -(-candidates.count() * 5 // (trie_phrases * 4))  # a quarter of room for uneven hashes
