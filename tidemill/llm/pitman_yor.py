@@ -37,7 +37,7 @@ from tidemill.llm.common import dropped, fold, mixed, slices, uniform, word_colu
 #: Context classes (0: start of a text), characters of a chunk.
 CLASSES, CHUNK_CHARS = 32, 14_000_000
 #: Tables whose weights are summed up one by one; customers, each with weights of its own, and octaves above them.
-WIDEST, ROWS, OCTAVES = 512, 4_096, 32
+WIDEST, ROWS, OCTAVES = 512, 2_048, 33
 LOG_FACTORIALS = np.array([math.lgamma(t + 1) for t in range(WIDEST)])
 #: Characters of the corpus for each bucket, where there are not more shuffle partitions.
 BUCKET_CHARS = 4_000_000
@@ -182,13 +182,19 @@ def thinned(discount: float) -> np.ndarray:
     """
     t = np.arange(WIDEST + 1)
     q = np.where(t == 1, 1.0, 0.0)
-    rows = [np.zeros(WIDEST + 1), q]
+    logs = np.full((ROWS + 1 + 4 * OCTAVES, WIDEST + 1), -1e30, dtype=np.float32)
+
+    def kept(row: int) -> None:
+        there = q > 0
+        logs[row, there] = np.log(q[there])
+
+    kept(1)
     for c in range(1, ROWS):
         a = discount * (t - 1) / (c - discount)
         q = q + a * (np.roll(q, 1) - q)
         q[0] = 0
         q[c + 2 :] = 0  # no more tables than customers
-        rows.append(q)
+        kept(c + 1)
     gammas = np.array([math.lgamma(x + 1) for x in range(WIDEST + 1)])
     n, k = t[1:, None] - 1, t[None, 1:] - 1
     choose = np.where(k <= n, gammas[n] - gammas[np.minimum(k, n)] - gammas[np.maximum(n - k, 0)], -np.inf)
@@ -198,10 +204,9 @@ def thinned(discount: float) -> np.ndarray:
         # the chance to outlive all customers from c to new: a product of 1 - discount / (i - discount)
         live = discount * math.log((c - 1.5 * discount - 0.5) / (new - 1.5 * discount - 0.5))
         q = np.concatenate([[0.0], np.exp(choose + k * live + (n - k) * math.log(-math.expm1(live))) @ q[1:]])
-        rows.append(q)
+        kept(ROWS + step)
         c = new
-    with np.errstate(divide="ignore"):
-        return np.log(np.array(rows)).astype(np.float32)
+    return logs
 
 
 def _few(customers: np.ndarray, log_mean: np.ndarray, u: np.ndarray, logs: np.ndarray, width: int) -> np.ndarray:
@@ -266,7 +271,7 @@ def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, key: n
     least = 0
     for most in (2, 4, 8, 16, 24, 32, 64, 128, 256, WIDEST):
         mine = np.flatnonzero((width > least) & (width <= most))
-        for part in (mine[i : i + 1_000_000 // most] for i in range(0, len(mine), 1_000_000 // most)):
+        for part in (mine[i : i + 200_000 // most] for i in range(0, len(mine), 200_000 // most)):
             out[part] = _few(n[part], log_mean[part], u[part], logs, most)
         least = most
     tables[at] = out
