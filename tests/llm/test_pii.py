@@ -68,3 +68,75 @@ def test_places_of_very_many_matches(spark):
     want |= {(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)}
     assert {(s.kind, s.start, s.end) for s in rows[1].base} == want and len(rows[1].base) == 3000
     assert rows[2].base == []
+
+
+def test_values_of_one_shape_are_seeds_too(spark):
+    """Secrets behind one context, none of which a base pattern knows; numbers in a row and dates behind another aren't any."""
+    secrets = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(12)]
+    rows = [(i, f'config token = "{s}" end') for i, s in enumerate(secrets)]
+    rows += [(50 + i, f"released on day 2024-01-{i:02d} of it") for i in range(10, 28)]
+    rows += [(100 + i, f"look at item part-number-{i:06d}-of-it there") for i in range(12)]
+    rows += [(200, f"elsewhere {secrets[3]} alone"), (201, 'config token = "none" end')]
+    got = {r.doc_id: r.all for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", joined("added").alias("all")).collect()}
+    assert all(got[i] == "context:16:56" for i in range(12)) and not any(got[i] for i in got if i >= 12)
+
+
+def graph(pairs, seeds, rounds=2, support=3):
+    """Scores of contexts by the docstring's definition; pairs of context and value."""
+    values = {v: 1.0 if v in seeds else 0.0 for _, v in pairs}
+    for _ in range(rounds):
+        score = {}
+        for c in {c for c, _ in pairs}:
+            mine = [values[v] for x, v in pairs if x == c]
+            if sum(x > 0 for x in mine) >= support:
+                score[c] = sum(mine) / (len(mine) + 1)
+        for v in values:
+            if v not in seeds:
+                doubt = 1.0
+                for c, x in pairs:
+                    if x == v:
+                        doubt *= 1 - min(score.get(c, 0.0), 0.999999)
+                values[v] = 1 - doubt
+    return score
+
+
+def test_graph_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    contexts = [f"ctx{i} says" for i in range(12)]
+    mails, codes = [f"user{i}@mail.org" for i in range(9)], [f"zq-{1000 + i}-77" for i in range(14)]
+    rows, pairs = [], set()
+    for i in range(90):
+        c, v = rng.choice(contexts), rng.choice(mails + codes)
+        pairs.add((f"of {'x' * (contexts.index(c) + 1)} ", v))  # two words and what touches the mark, which is nothing
+        rows.append((i, f"Well {c} of {'x' * (contexts.index(c) + 1)} {v} ok"))
+    score = graph(sorted(pairs), set(mails))
+    trusted = {c for c, s in score.items() if s >= 0.5}
+    got = {r.doc_id: bool(r.added) for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0 < len(trusted) < 12
+    for i, text in rows:
+        context, value = re.search(r"(of x+ )(\S+)", text).groups()
+        assert got[i] == (value in codes and context in trusted), (i, text)
+
+
+def test_redaction_of_very_many_spans_is_linear(spark):
+    import time
+
+    def text(n):
+        return " ".join(f"é{i} user{i}@mail{i % 7}.example.org or" for i in range(n))
+
+    took = {}
+    for n in (2_500, 20_000):
+        docs = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        began = time.perf_counter()
+        (got,) = redact(docs).collect()
+        took[n] = time.perf_counter() - began
+        assert got.text == re.sub(r"user\d+@mail\d\.example\.org", "<EMAIL>", text(n))
+    assert took[20_000] < 4 * took[2_500] + 30
+
+
+def test_copies_without_ids_are_dealt_out(spark):
+    rows = [(None, "call a@b.co or 1.2.3.4 now")] * 3_000 + [(1, "x")]
+    got = redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("text").count().collect()
+    assert {r.text: r["count"] for r in got} == {"call <EMAIL> or <IP> now": 3_000, "x": 1}

@@ -6,6 +6,8 @@ stack on texts of any length; each is equal to the greedy form that the docstrin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,19 +73,28 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 
 def _before(numbers: Column, block: int = 256) -> Column:
-    """The sum of all numbers before each, in blocks: an array that grows is copied at every step, so it has to stay short."""
+    """The sum of all numbers before each."""
+    return _scanned(F.coalesce(numbers, F.array().cast("array<int>")), lambda a, x: a + F.coalesce(x, F.lit(0)), block)
+
+
+def _scanned(numbers: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """What `step`, from 0 on, makes of all numbers before each, in blocks: an array that grows is copied at every step, so it has to stay short."""
 
     def running(xs: Column, first: Column) -> Column:
         zero = F.struct(first.alias("sum"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["sum"] + F.coalesce(x, F.lit(0))).alias("sum"), F.array_append(acc["all"], acc["sum"]).alias("all")), lambda acc: acc["all"])
+        return F.aggregate(xs, zero, lambda acc, x: F.struct(step(acc["sum"], x).alias("sum"), F.array_append(acc["all"], acc["sum"]).alias("all")), lambda acc: acc["all"])
 
-    numbers = F.coalesce(numbers, F.array().cast("array<int>"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), lambda b: F.slice(numbers, b * block + 1, block))
-    blocks = F.when(F.size(numbers) > 0, blocks).otherwise(F.array().cast("array<array<int>>"))
-    sums = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))))
+    blocks = _blocks(numbers, "array<array<int>>", block)
+    sums = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), step))
     return F.when(F.size(numbers) <= block, running(numbers, F.lit(0))).otherwise(F.flatten(F.zip_with(blocks, running(sums, F.lit(0)), running)))
 
 
+def _blocks(xs: Column, kind: str, block: int) -> Column:
+    """An array cut into arrays of `block` elements."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, block))
+    return F.when(F.size(xs) > 0, cut).otherwise(F.array().cast(kind))
+
+
 def _typed(kind: str) -> Column:
     return F.transform(F.col(kind), lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["left"].alias("left"), m["value"].alias("value")))
 
@@ -109,11 +120,31 @@ def _contexts(left: Column) -> Column:
     return F.filter(F.array(F.when(F.length(touching) >= 3, F.concat(F.lit("="), touching)), F.when(two != "", F.regexp_replace(two, r"\s+", " "))), lambda x: x.isNotNull())
 
 
-def learned_spans(base: DataFrame, rounds: int = 2, support: int = 3, confidence: float = 0.5) -> DataFrame:
+def _shape(value: Column) -> Column:
+    """Length and marks of a value that looks drawn at random: 16 characters or more, letters and digits both a seventh of it or more; null for others."""
+    letters, digits = (F.length(F.regexp_replace(value, f"[^{kind}]", "")) for kind in ("a-z", "0-9"))
+    random = (F.length(value) >= 16) & (7 * letters >= F.length(value)) & (7 * digits >= F.length(value))
+    return F.when(random, F.concat_ws(":", F.length(value), F.regexp_replace(value, "[a-z0-9]", "")))
+
+
+def _shaped(edges: DataFrame, distinct: int, share: float) -> DataFrame:
+    """value: those behind contexts that stand before `distinct` values or more of one shape, and before few others.
+
+    Of such a context, `share` of its distinct values have the shape, and half as many beginnings (three characters) as values
+    are distinct, as numbers in a row wouldn't have. These are seeds beside those of the base patterns.
+    """
+    beginnings = edges.groupBy("context", _shape(F.col("value")).alias("shape"), F.substring("value", 1, 3).alias("start")).agg(F.count("*").alias("n"))
+    shapes = beginnings.groupBy("context", "shape").agg(F.sum("n").alias("n"), F.count("*").alias("starts"))
+    best = shapes.groupBy("context").agg(F.max(F.when(F.col("shape").isNotNull(), F.struct("n", "starts", "shape"))).alias("best"), F.sum("n").alias("all"))
+    fine = best.where((F.col("best.n") >= distinct) & (F.col("best.n") >= share * F.col("all")) & (2 * F.col("best.starts") >= F.col("best.n")))
+    return edges.withColumn("shape", _shape(F.col("value"))).join(fine.select("context", "best.shape"), ["context", "shape"], "left_semi").select("value").distinct()
+
+
+def learned_spans(base: DataFrame, rounds: int = 2, support: int = 3, confidence: float = 0.5, distinct: int = 5, share: float = 0.8) -> DataFrame:
     """text_key, added: spans (kind 4, start, end) that high-confidence contexts discover; only texts that have any.
 
-    base: the table of `base_spans`. Seeds are the values that base patterns found. A bipartite graph joins each context
-    to the distinct values seen behind it. In each round a context's score is the sum of its values' scores over their
+    base: the table of `base_spans`. Seeds are the values that base patterns found, and those that `distinct` and `share` make
+    seeds (see `_shaped`). A bipartite graph joins each context to the distinct values seen behind it. In each round a context's score is the sum of its values' scores over their
     number and one, and counts if `support` values score; a value that is no seed scores 1 - product of (1 - score) over
     its contexts. A candidate is added where a context of at least `confidence` stands before it and no base span
     overlaps it. Each distinct text counts once, so groups of copies give no weight, and all steps aggregate by key.
@@ -126,7 +157,9 @@ def learned_spans(base: DataFrame, rounds: int = 2, support: int = 3, confidence
     every = every.select("*", F.max(F.when(seed, F.col("end"))).over(ahead).alias("before"), F.min(F.when(seed, F.col("start"))).over(back).alias("after"))
     free = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
     marks = written(every.where(seed | free).select("text_key", "kind", "start", "end", F.lower("value").alias("value"), _contexts(F.col("left")).alias("contexts")), "pii-marks")
-    edges = written(marks.select(F.explode("contexts").alias("context"), "value", "kind").groupBy("context", "value").agg((F.min("kind") < kinds).alias("seed")), "pii-edges")
+    edges = written(marks.select(F.explode("contexts").alias("context"), "value", "kind").groupBy("context", "value").agg((F.min("kind") < kinds).alias("seed")), "pii-found")
+    more = _shaped(edges, distinct, share).withColumn("shaped", F.lit(True))
+    edges = written(edges.join(more, "value", "left").select("context", "value", (F.col("seed") | F.col("shaped").isNotNull()).alias("seed")), "pii-edges")
 
     values = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     scored = None
@@ -152,12 +185,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null texts count as empty and have no spans; repeated rows and null ids stay; other columns are not read.
     """
-    base = written(base_spans(docs, id_col, text_col), "pii-base")
+    copies = 16  # rows of one text are dealt out by their number, written beside them
+    base = written(base_spans(docs, id_col, text_col).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(copies)).cast("int")), "pii-base")
     spans = F.transform(F.filter("marks", lambda m: m["kind"] < len(KINDS) - 1), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     open_ = F.exists("marks", lambda m: m["kind"] == len(KINDS) - 1)  # other rows have nothing to add, and meet no other
-    copies = 16  # rows of one text are dealt out by their ids
-    salted = base.where(open_).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(copies)).cast("int"))
+    salted = base.where(open_)
     added = learned_spans(base).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     met = salted.join(added, ["text_key", "salt"], "left").select("doc_id", "text_key", spans.alias("base"), F.coalesce("added", none).alias("added"))
     return met.unionByName(base.where(~open_).select("doc_id", "text_key", spans.alias("base"), none.alias("added")))
@@ -174,17 +207,24 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Texts with neither a digit nor an at sign pass without a join. Null texts stay null.
     """
-    suspect = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
-    rows = docs.where(suspect).select(F.struct("*").alias("row"), F.md5(F.col(text_col).cast("binary")).alias("text_key"))
+    suspect, copies = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False)), 16
+    rows = docs.where(suspect).select(F.struct("*").alias("row"), F.md5(F.col(text_col).cast("binary")).alias("text_key"), F.pmod(F.monotonically_increasing_id(), F.lit(copies)).cast("int").alias("salt"))
     found = find_pii(docs.where(suspect).select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).groupBy("text_key").agg(F.first(F.concat("base", "added")).alias("spans"))
     found = found.where(F.size("spans") > 0).withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(a["kind"] - b["kind"])))
+    # where the spans before each one end, and where the last one does
+    found = found.withColumn("from", _scanned(F.transform("spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x))).withColumn("last", F.array_max(F.transform("spans", lambda s: s["end"])))
+    cuts = F.zip_with("spans", "from", lambda s, pos: F.named_struct(F.lit("kind"), s["kind"], F.lit("start"), s["start"], F.lit("pos"), pos))
+    cuts = F.filter(cuts, lambda c: c["start"] >= c["pos"])
+    found = found.select("text_key", "last", _blocks(cuts, "array<array<struct<kind:int,start:int,pos:int>>>", 256).alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"))
     text, names = F.col("row")[text_col], F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.array_append(F.array_append(acc["parts"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], fresh).otherwise(acc["parts"]).alias("parts"))
+    def drawn(cuts: Column) -> Column:
+        """The text from a block's first place to its last span, which is cut out once and then again for each span."""
+        first = cuts[0]["pos"]
+        part = F.substring(text, first + 1, F.element_at(cuts, -1)["start"] - first)
+        pieces = F.transform(F.array(F.named_struct(F.lit("cuts"), cuts, F.lit("part"), part)), lambda b: F.array_join(F.transform(b["cuts"], lambda c: F.concat(F.substring(b["part"], c["pos"] - b["cuts"][0]["pos"] + 1, c["start"] - c["pos"]), F.get(names, c["kind"]))), ""))
+        return F.array_join(pieces, "")
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
-    cleaned = F.aggregate("spans", zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
-    changed = rows.join(found, "text_key", "left").select(*(F.coalesce(cleaned, text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    cleaned = F.concat(F.array_join(F.transform("blocks", drawn), ""), F.substring(text, F.col("last") + 1, F.length(text)))
+    changed = rows.join(found, ["text_key", "salt"], "left").select(*(F.coalesce(cleaned, text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
     return docs.where(~suspect).unionByName(changed)
