@@ -121,3 +121,11 @@ def test_numbers_of_links_equal_brute_force(spark, monkeypatch, block):
     assert len(got) == len(texts) and {r.doc_id: r.n_links for r in got} == want
     size = {c: sum(r.component_id == c for r in got) for c in {r.component_id for r in got}}
     assert any(r.n_links < size[r.component_id] - 1 for r in got)
+
+
+def test_query_and_its_sql(spark):
+    from tests.compare import same
+    from tidemill.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    same(QUERIES["op6_ngram_join"](spark, sf), sf, ORACLES["op6_ngram_join"])

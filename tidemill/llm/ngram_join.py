@@ -231,7 +231,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     chosen = sets.join(groups.withColumnRenamed("node", "set_id"), "set_id").groupBy("set_id", "component").agg(first, F.first("n_shingles").alias("n"), F.count("*").alias("docs"))
     chosen = chosen.select("set_id", "component", "n", "docs", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"))
-    members = rows.join(chosen, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("set_id", "component", "n", "docs", "text")
+    # id and text are the key together, so copies of one text, of which one row alone is chosen, don't meet in one task
+    same = (rows["text_hash"] == chosen["text_hash"]) & rows["doc_id"].eqNullSafe(chosen["first_id"])
+    members = rows.join(chosen, same).select("set_id", "component", "n", "docs", "text")
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of the members; rows that share a doc_id with a member but hold another set go."""

@@ -162,6 +162,17 @@ lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ph
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000"""
 
 
+OP6_SQL = f"""WITH RECURSIVE
+word AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \\t-\\r]+'), lambda w: w <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS runs FROM word),
+run AS (SELECT doc_id, unnest(runs) AS run FROM sets),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM run x JOIN run y ON x.run = y.run AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * common >= 85 * (len(x.runs) + len(y.runs) - common)),
+reach AS (SELECT a AS node, a AS seen FROM link UNION SELECT reach.node, link.b FROM reach JOIN link ON link.a = reach.seen)
+SELECT doc_id, CAST(len(runs) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(n, 0) AS n_links FROM sets
+LEFT JOIN (SELECT node AS doc_id, min(seen) AS component FROM reach GROUP BY node) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM link GROUP BY a) USING (doc_id)"""
+
+
 def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that differ in at most four bits."""
     from tidemill.llm.simhash import near_copies
@@ -170,4 +181,4 @@ def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_store": op1_token_store, "op2_gumbel_pieces": op2_gumbel_pieces, "op3_string_tiling": op3_string_tiling, "op4_quality_rules": op4_quality_rules, "op5_two_pass_shards": op5_two_pass_shards, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_context_pii": op8_context_pii, "op9_line_crf": op9_line_crf, "op10_pitman_yor": op10_pitman_yor, "op11_lexical_search": op11_lexical_search, "op12_phrase_tries": op12_phrase_tries, "op13_simhash_trees": op13_simhash_trees}
-ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL, "op12_phrase_tries": OP12_SQL}
+ORACLES: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op11_lexical_search": OP11_SQL, "op12_phrase_tries": OP12_SQL}
