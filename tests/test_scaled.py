@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from tests.compare import same
 from tidemill.operators import order_statistics, vectors
+from tidemill.functions.tables import Runs
+from tidemill.operators.joins import small_or_merge
 from tidemill.operators.near_duplicates import near_duplicates, shingle_sets, star_links
 from tidemill.operators.order_statistics import below, exact_quantiles
+from tidemill.operators.sketches import daily_sketches, merged
+from tidemill.operators.skew import salted_join
 from tidemill.operators.vectors import exact_neighbours, index_neighbours, inverted_file, recall
 from tidemill.plans.scaled import ORACLES, QUERIES
+from tidemill.streaming.timed import clicks_with_purchases, sessions_read, timed_sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,3 +232,98 @@ def test_below_forms_no_pairs(spark):
     empty = spark.createDataFrame([], "x int, s double")
     assert below(empty, empty, "x", "s").collect() == []
     assert [tuple(r) for r in below(spark.createDataFrame([(1, 1.0)], "x int, s double"), empty, "x", "s").collect()] == [(1, 1.0, 0, None)]
+
+
+# skew, sketches, sinks, table functions, streams with timers
+
+
+def rows_of_tasks(df):
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_a_heavy_key_is_dealt_out(spark):
+    """A third of lineitem has one order: the largest task of the salted join is near the median, that of the plain one isn't."""
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select(F.when(F.col("l_orderkey") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("l_orderkey")).alias("k"), "l_quantity")
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_totalprice")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    for c, v in zip(before, ("false", "16", "-1")):
+        spark.conf.set(c, v)
+    try:
+        salted, plain = rows_of_tasks(salted_join(lines, orders, ["k"])), rows_of_tasks(lines.join(orders, "k"))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sum(salted) == sum(plain) == 60_000 and len(salted) == 16
+    assert salted[-1] < 2 * salted[8] and plain[-1] > 5 * plain[8]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_is_a_join(spark, how):
+    rng = random.Random(11)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 1, 2, 3, None, 9]), rng.choice(["a", "b"]), i) for i in range(300)], "k int, g string, i int")
+    right = spark.createDataFrame([(1, "a", 5), (1, "a", 6), (1, "b", 7), (2, "a", 8), (None, "a", 9)], "k int, g string, w int")
+    got, want = salted_join(left, right, ["k", "g"], how), left.join(right, ["k", "g"], how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError, match="more than once"):
+        salted_join(left, right, ["k"], "full")
+
+
+def test_bucketed_tables_join_in_place(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan(QUERIES["sink_bucketed"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sketches_merge_upwards(spark):
+    rows = [(f"2024-01-{1 + i % 28:02d} 00:00:00", f"t{i % 3}", i % 5_000) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "ts string, t string, u long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    days = daily_sketches(df, "ts", ["t"], "u")
+    assert days.count() == 84
+    for r in merged(days, "t").collect() + merged(days, F.trunc("day", "month")).collect():
+        assert abs(r.estimate - 5_000) < 250
+    nulls = daily_sketches(spark.createDataFrame([(None,)], "u long").withColumn("ts", F.current_timestamp()), "ts", [], "u")
+    assert [r.estimate for r in merged(nulls).collect()] == [0]
+
+
+def test_runs_of_nulls_and_of_nothing(spark):
+    schema = "k int, v string, i int, extra int"
+    rows = [(1, "a", 1, 0), (1, "a", 2, 0), (1, None, 3, 0), (1, None, 4, 0), (1, "a", 5, 0), (None, "b", 6, 0), (None, "b", 7, 0), (2, "c", 8, 0)]
+    names = [F.lit(c) for c in "kvi"]
+    table = spark.createDataFrame(rows, schema)
+    got = Runs(table.asTable().partitionBy("k").orderBy("i"), *names)
+    assert got.dtypes == [("k", "int"), ("v", "string"), ("first", "int"), ("last", "int"), ("n", "bigint")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a", 1, 2, 2), (1, None, 3, 4, 2), (1, "a", 5, 5, 1), (None, "b", 6, 7, 2), (2, "c", 8, 8, 1)], key=str)
+    assert Runs(table.limit(0).asTable().partitionBy("k").orderBy("i"), *names).collect() == []
+    with pytest.raises(Exception, match="constants that the table has"):
+        Runs(table.asTable().partitionBy("k").orderBy("i"), F.lit("k"), F.lit("none"), F.lit("i")).collect()
+
+
+def test_timers_stop_and_go_on(spark, tmp_path):
+    """Rows in any order, in three runs on one checkpoint: a session that spans runs is one, late rows within the delay join, and what is open stays open."""
+    source, path, state = (f"file://{tmp_path}/{x}" for x in ("source", "out", "state"))
+    hour, day = 3_600, 1_700_006_400
+    runs = [[(1, 1, 5 * hour), (2, 1, 0), (3, 2, hour), (4, None, 0)], [(5, 1, 10 * hour), (6, 2, 30 * hour)], [(7, 1, 60 * hour), (8, 2, 31 * hour), (9, 2, 60 * hour)]]
+    for rows in runs:
+        df = spark.createDataFrame([(i, u, day + s) for i, u, s in rows], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+        df.write.mode("append").parquet(source)
+        timed_sessions(spark, source, path, state, delay="24 hours")
+    got = sessions_read(spark, path).select("user_id", *(F.unix_seconds(F.col(c).cast("timestamp")).alias(c) for c in ("start", "end")), "n").collect()
+    assert sorted((r.user_id, r.start - day, r.end - day, r.n) for r in got) == [(1, 0, 16 * hour, 3), (2, hour, 7 * hour, 1)]
+
+
+def test_outer_join_frees_its_state(spark):
+    progress = []
+    found = clicks_with_purchases(spark, SF, progress)
+    assert found.where("buy_id IS NULL").count() > 0
+    reports = [p if isinstance(p, dict) else p.jsonValue() for p in progress]
+    removed = sum(o.get("numRowsRemoved", 0) for p in reports for o in p["stateOperators"])
+    left = reports[-1]["stateOperators"][0]["numRowsTotal"]
+    assert removed > 0 and left < 0.1 * spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_broadcast_by_bytes(spark):
+    left, right = spark.range(1_000).withColumnRenamed("id", "k"), spark.read.parquet(f"{SF}/supplier.parquet").select(F.col("s_suppkey").alias("k"), "s_name")
+    assert "BroadcastHashJoin" in plan(small_or_merge(left, right, ["k"], "inner")) and "SortMergeJoin" in plan(small_or_merge(left, right, ["k"], "inner", limit=10))

@@ -10,13 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def skewness(x: Column) -> Column:
-    """Third standardised moment of the population, from power sums."""
-    n, s1, s2, s3 = F.count(x), F.sum(x), F.sum(x * x), F.sum(x * x * x)
-    m = s1 / n
-    return (s3 / n - 3 * m * s2 / n + 2 * m * m * m) / F.pow(s2 / n - m * m, F.lit(1.5))
-
-
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays, summed as doubles in order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

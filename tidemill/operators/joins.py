@@ -52,9 +52,13 @@ def band_join(left: DataFrame, right: DataFrame, on: str, width: float) -> DataF
     return banded.join(other, (F.col("band") == F.col("r_band")) & above).drop("band", "r_band")
 
 
-def small_or_merge(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, limit: int = 50_000) -> DataFrame:
-    """Joins with a broadcast of the right side if it has at most `limit` rows (`rows` is its count), else by sort-merge."""
-    return left.join(F.broadcast(right) if rows <= limit else right.hint("merge"), on, how)
+def small_or_merge(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = 8 << 20) -> DataFrame:
+    """Joins with a broadcast of the right side if Spark's own estimate of its size is at most `limit` bytes, else by sort-merge.
+
+    The estimate comes from the files' sizes and the columns read, so no job counts rows first; where Spark knows nothing it is huge.
+    """
+    size = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return left.join(F.broadcast(right) if size <= limit else right.hint("merge"), on, how)
 
 
 def top_k(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:

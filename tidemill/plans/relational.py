@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.functions.stats import geometric_mean, skewness, softsign
+from tidemill.functions.stats import geometric_mean, softsign
 from tidemill.operators.joins import asof_join, band_join, interval_join, small_or_merge, top_k
+from tidemill.operators.order_statistics import exact_quantiles
 from tidemill.sources.tables import partitioned, table, through
 from tidemill.streaming import events as streams
 
@@ -155,7 +156,7 @@ def join_not_in(spark, sf_dir):
 @query("""SELECT s_nationkey, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey""")
 def join_by_size(spark, sf_dir):
     line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
-    return small_or_merge(line, supplier, ["l_suppkey"], "inner", supplier.count()).groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    return small_or_merge(line, supplier, ["l_suppkey"], "inner").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
 def _hinted(spark: SparkSession, sf_dir: str, hint: str) -> DataFrame:
@@ -238,17 +239,16 @@ def agg_grouping_sets(spark, sf_dir):
 @query("""SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS var, median(l_quantity) AS mid,
     quantile_cont(l_extendedprice, 0.9) AS p90, min(l_discount) AS least, max(l_tax) AS most FROM lineitem GROUP BY l_returnflag""")
 def agg_stats(spark, sf_dir):
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.round(F.stddev_samp(q), 6).alias("sd"), F.round(F.var_pop(q), 6).alias("var"), F.median(q).alias("mid"),
-        F.percentile("l_extendedprice", 0.9).alias("p90"), F.min("l_discount").alias("least"), F.max("l_tax").alias("most"),
-    )
+    q, line = F.col("l_quantity"), table(spark, sf_dir, "lineitem")
+    moments = line.groupBy("l_returnflag").agg(F.round(F.stddev_samp(q), 6).alias("sd"), F.round(F.var_pop(q), 6).alias("var"), F.min("l_discount").alias("least"), F.max("l_tax").alias("most"))
+    quantiles = exact_quantiles(line, ["l_returnflag"], {"mid": ("l_quantity", 0.5), "p90": ("l_extendedprice", 0.9)}).withColumnRenamed("l_returnflag", "flag")
+    return moments.join(quantiles, F.col("l_returnflag").eqNullSafe(F.col("flag"))).select("l_returnflag", "sd", "var", "mid", "p90", "least", "most")
 
 
 @query("""WITH m AS (SELECT l_returnflag, count(*) AS n, avg(l_tax) AS a, avg(l_tax * l_tax) AS b, avg(l_tax * l_tax * l_tax) AS c FROM lineitem GROUP BY 1)
     SELECT l_returnflag, round((c - 3 * a * b + 2 * a * a * a) / pow(b - a * a, 1.5), 6) AS skew FROM m""")
 def agg_skewness(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(skewness(F.col("l_tax")), 6).alias("skew"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.skewness("l_tax"), 6).alias("skew"))
 
 
 @query("SELECT l_returnflag, round(kurtosis_pop(l_quantity), 6) AS kurt FROM lineitem GROUP BY l_returnflag")
@@ -436,6 +436,14 @@ def fn_map(spark, sf_dir):
     return maps.select("user_id", F.explode("m").alias("k", "v"))
 
 
+@query("SELECT user_id, upper(event_type) AS k, max(value) * 2 AS v FROM events GROUP BY user_id, event_type HAVING max(value) > 1")
+def fn_map_transform(spark, sf_dir):
+    best = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
+    maps = best.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))  # one entry for each type
+    changed = F.transform_keys(F.transform_values(F.map_filter("m", lambda k, v: v > 1), lambda k, v: v * 2), lambda k, v: F.upper(k))
+    return maps.select("user_id", F.explode(changed).alias("k", "v"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def fn_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -449,6 +457,12 @@ def fn_url(spark, sf_dir):
 # functions of the user
 
 
+@query("SELECT n_nationkey, reverse(n_name) AS mirrored FROM nation")
+def udf_plain(spark, sf_dir):
+    mirrored = F.udf(lambda text: None if text is None else text[::-1], "string")  # row by row: for small tables alone
+    return table(spark, sf_dir, "nation").select("n_nationkey", mirrored("n_name").alias("mirrored"))
+
+
 @query("SELECT event_id, value / (1 + abs(value)) AS soft FROM events")
 def udf_pandas(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", softsign("value").alias("soft"))
@@ -464,7 +478,7 @@ def udtf_words(spark, sf_dir):
     @F.udtf(returnType=T.StructType([T.StructField("word", T.StringType())]))
     class Words:
         def eval(self, text: str):
-            for word in text.split(" "):
+            for word in [] if text is None else text.split(" "):  # a null text has no words
                 yield (word,)
 
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")

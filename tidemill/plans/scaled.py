@@ -7,14 +7,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemill.functions.tables import Runs
 from tidemill.operators.near_duplicates import BANDS, ROWS, masks, near_duplicates
 from tidemill.operators.order_statistics import below, exact_quantiles
+from tidemill.operators.sketches import daily_sketches, merged
+from tidemill.operators.skew import salted_join
 from tidemill.operators.vectors import exact_neighbours, index_neighbours, recall
 from tidemill.plans.relational import Query
-from tidemill.sources.tables import table, through
+from tidemill.sources.tables import bucketed, overwritten, shared_folder, table, through
+from tidemill.streaming import timed
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(timed.QUERIES)
+ORACLES: dict[str, str] = dict(timed.ORACLES)
 
 
 def query(sql: str | None):
@@ -101,3 +105,57 @@ def join_inequality(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     found = below(orders.select("o_orderkey", "o_totalprice"), orders.where("o_orderstatus = 'F'").select("o_totalprice", F.col("o_totalprice").alias("price")), "o_totalprice", "price")
     return found.select("o_orderkey", "n_below", F.round("sum_below", 2).alias("sum_below"))
+
+
+# skew, sketches, sinks, table functions
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_orderkey END AS k, l_quantity FROM lineitem)
+    JOIN orders ON k = o_orderkey GROUP BY o_orderpriority""")
+def join_skew(spark, sf_dir):
+    """Lines with their orders, where a third of all lines have one order: its key is salted."""
+    key = F.when(F.col("l_orderkey") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("l_orderkey")).alias("k")
+    lines = table(spark, sf_dir, "lineitem").select(key, "l_quantity")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
+    return salted_join(lines, orders, ["k"]).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS exact, true AS near FROM events GROUP BY ROLLUP (event_type)")
+def agg_sketches(spark, sf_dir):
+    """Users of each event type and of all, by daily sketches merged upwards, held against exact counts: within 5 %."""
+    events = table(spark, sf_dir, "events")
+    days = daily_sketches(events, "ts", ["event_type"], "user_id")
+    types = merged(days, "event_type")
+    whole = merged(types.drop("estimate"), F.lit(None).cast("string").alias("event_type"))
+    exact = events.rollup("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    both = exact.join(F.broadcast(types.unionByName(whole).select(F.col("event_type").alias("t"), "estimate")), F.col("event_type").eqNullSafe(F.col("t")))
+    return both.select("event_type", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+
+
+@query("SELECT o_orderkey, o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def sink_bucketed(spark, sf_dir):
+    """Orders and lines as tables bucketed by order: joined and counted without moving a row."""
+    orders = bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    lines = bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey")
+    joined = orders.hint("merge").join(lines, orders["o_orderkey"] == lines["l_orderkey"])
+    return joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS price, o_orderstatus FROM orders")
+def sink_overwrite(spark, sf_dir):
+    """A table in folders by status, one of which is written anew, twice."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), "o_orderstatus")
+    path = shared_folder(spark, "overwritten")
+    orders.write.partitionBy("o_orderstatus").parquet(path)
+    doubled = orders.where("o_orderstatus = 'F'").withColumn("price", F.col("price") * 2)
+    for _ in range(2):  # as a driver that tries again would
+        overwritten(doubled, path, "o_orderstatus")
+    return spark.read.schema(orders.schema).parquet(path)
+
+
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events)
+    SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last, count(*) AS n FROM a GROUP BY user_id, event_type, island""")
+def udtf_runs(spark, sf_dir):
+    """Runs of events of one type of each user, by a table function."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return Runs(events.asTable().partitionBy("user_id").orderBy("ts", "event_id"), F.lit("user_id"), F.lit("event_type"), F.lit("event_id"))

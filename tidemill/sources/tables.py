@@ -34,3 +34,20 @@ def partitioned(df: DataFrame, *columns: str) -> DataFrame:
     path = shared_folder(df.sparkSession, "partitioned")
     df.write.partitionBy(*columns).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def bucketed(df: DataFrame, by: str, buckets: int = 8) -> DataFrame:
+    """The rows as a table of files bucketed and sorted by a column: joins of two such tables on it move no rows.
+
+    The files lie in the shared folder, and the catalog of the session knows the table by a name of its own.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "bucketed")
+    name = "bucketed_" + path.rpartition("-")[2]
+    df.write.format("parquet").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    return spark.table(name)
+
+
+def overwritten(df: DataFrame, path: str, *columns: str) -> None:
+    """Writes rows over those partitions of a table of files that they belong to; other partitions stay. Doing it again changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)

@@ -24,13 +24,15 @@ def stream(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> D
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def run_to_end(df: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over all there is, then returns what it wrote."""
+def run_to_end(df: DataFrame, mode: str, progress: list | None = None) -> DataFrame:
+    """Runs the stream over all there is, then returns what it wrote; the run's progress reports are added to `progress`."""
     spark = df.sparkSession
     path = shared_folder(spark, "stream")
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else number}")  # noqa: E731  a batch that is tried again writes its folder anew
     started = df.writeStream.outputMode(mode).option("checkpointLocation", shared_folder(spark, "stream-state")).foreachBatch(write).trigger(availableNow=True).start()
     started.awaitTermination()
+    if progress is not None:
+        progress += started.recentProgress
     return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
