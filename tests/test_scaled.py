@@ -18,6 +18,7 @@ from tidemill.operators.near_duplicates import near_duplicates, shingle_sets, st
 from tidemill.operators.order_statistics import below, exact_quantiles
 from tidemill.operators.sketches import daily_sketches, merged
 from tidemill.operators.skew import salted_join
+from tidemill.operators.turns import assembled
 from tidemill.operators.vectors import exact_neighbours, index_neighbours, inverted_file, recall
 from tidemill.plans.scaled import ORACLES, QUERIES
 from tidemill.streaming.timed import clicks_with_purchases, sessions_read, timed_sessions
@@ -327,3 +328,48 @@ def test_outer_join_frees_its_state(spark):
 def test_broadcast_by_bytes(spark):
     left, right = spark.range(1_000).withColumnRenamed("id", "k"), spark.read.parquet(f"{SF}/supplier.parquet").select(F.col("s_suppkey").alias("k"), "s_name")
     assert "BroadcastHashJoin" in plan(small_or_merge(left, right, ["k"], "inner")) and "SortMergeJoin" in plan(small_or_merge(left, right, ["k"], "inner", limit=10))
+
+
+# turns
+
+
+def test_turns_of_a_hot_key(spark):
+    """A third of the rows have one key, which lies in several parts; nulls, gaps and repeats are marked as a plain loop marks them."""
+    rng = random.Random(12)
+    rows = [(1, 2 * i if i % 5 else 2 * i - 2, "a") for i in range(200)] + [(rng.choice([2, 3, 4, None]), rng.choice([None, *range(12)]), rng.choice("ab")) for _ in range(400)]
+    rng.shuffle(rows)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for c, v in zip(before, ("false", "8")):
+        spark.conf.set(c, v)
+    try:
+        got = [tuple(r) for r in assembled(spark.createDataFrame(rows, "k int, n int, role string").repartition(5), "k", "n", "role").collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(got) == len(rows)
+    for key in (1, 2, 3, 4, None):
+        mine = sorted((r for r in got if r[0] == key), key=lambda r: r[3])
+        assert [r[3] for r in mine] == list(range(1, len(mine) + 1))
+        assert sorted((str(r[1]), r[2]) for r in mine) == sorted((str(n), role) for k, n, role in rows if k == key)
+        last = None
+        for _, n, _, _, gap, repeated in mine:
+            assert (gap, repeated) == (max(n - last - 1, 0) if n is not None and last is not None else 0, n is not None and n == last)
+            assert last is None or n >= last
+            last = n
+    empty = spark.createDataFrame([], "k int, n int, role string")
+    assert assembled(empty, "k", "n", "role").collect() == []
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    """Without spark.checkpoint.dir a session that isn't local says so instead of writing where others can't read."""
+    from tidemill.sources.tables import shared_folder
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Elsewhere, "x")

@@ -12,6 +12,7 @@ from tidemill.operators.near_duplicates import BANDS, ROWS, masks, near_duplicat
 from tidemill.operators.order_statistics import below, exact_quantiles
 from tidemill.operators.sketches import daily_sketches, merged
 from tidemill.operators.skew import salted_join
+from tidemill.operators.turns import assembled
 from tidemill.operators.vectors import exact_neighbours, index_neighbours, recall
 from tidemill.plans.relational import Query
 from tidemill.sources.tables import bucketed, overwritten, shared_folder, table, through
@@ -159,3 +160,11 @@ def udtf_runs(spark, sf_dir):
     """Runs of events of one type of each user, by a table function."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
     return Runs(events.asTable().partitionBy("user_id").orderBy("ts", "event_id"), F.lit("user_id"), F.lit("event_type"), F.lit("event_id"))
+
+
+@query("""SELECT conv_id, turn, role, row_number() OVER w AS position, greatest(coalesce(turn - lag(turn) OVER w - 1, 0), 0) AS gap, coalesce(turn = lag(turn) OVER w, false) AS repeated
+    FROM (SELECT * FROM conversations WHERE turn <> 2 UNION ALL SELECT * FROM conversations WHERE turn = 4) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def conv_assemble(spark, sf_dir):
+    """Turns of each conversation in order, from rows that lack the third turn and bring the fifth twice."""
+    turns = table(spark, sf_dir, "conversations")
+    return assembled(turns.where("turn <> 2").unionByName(turns.where("turn = 4")).select("conv_id", "turn", "role"), "conv_id", "turn", "role")
