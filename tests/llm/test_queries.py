@@ -10,11 +10,16 @@ from zlib import crc32
 import pandas as pd
 import pytest
 
+from tests.llm.test_collocations import plain as phrases
+from tests.llm.test_lexical_search import plain as ranked
+from tests.llm.test_lexical_search import rows as ranks
 from tests.llm.test_ngram_join import brute as shingle_sets
 from tests.llm.test_ngram_join import components
 from tests.llm.test_pii import BASE
 from tests.llm.test_pii import brute as base_spans
 from tests.llm.test_quality_rules import brute as statistics
+from tests.llm.test_simhash import linked
+from tests.llm.test_simhash import plain as print_of
 from tidemill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +29,7 @@ EDGES = [
     "mail a@b.com, 1.2.3.4, 4111 1111 1111 1111 and +1 (988) 555-2485", "mail a@b.com, 1.2.3.4, 4111 1111 1111 1111 and +1 (988) 555-2485", "the " * 12 + "end",
 ]
 #: Names that operators use themselves, as columns of the table.
-CLASHES = ("row", "text_key", "part", "sig", "set_id", "score", "toxicity", "kept", "label", "quality", "root", "start", "salt", "bucket", "size", "n", "row_key", "hits")
+CLASHES = ("print", "component", "phrase", "word", "key", "item", "rank", "row", "text_key", "part", "sig", "set_id", "score", "toxicity", "kept", "label", "quality", "root", "start", "salt", "bucket", "size", "n", "row_key", "hits")
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +127,22 @@ def test_op10(spark, folder):
         want = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[i])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(i, 10) == 0, len(tokens[i]), sum(counts[w] > 0 for w in tokens[i]), n)
         assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.score < 0
+
+
+def test_op11(spark, folder):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder[0]}/benchmark.parquet").collect()]
+    assert ranks(QUERIES["op11_lexical_search"](spark, folder[0])) == ranked(list(folder[1].items()), items)
+
+
+def test_op12(spark, folder):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder[0]}/documents.parquet").select("doc_id", "lang").collect()}
+    got = QUERIES["op12_phrase_tries"](spark, folder[0]).collect()
+    want = phrases([(langs[i], t) for i, t in folder[1].items()], 100, 2_000)
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == want and {r.lang for r in got} >= {"en", "und"}
+
+
+def test_op13(spark, folder):
+    ids = sorted(folder[1])
+    prints = [print_of(folder[1][i]) for i in ids]
+    want = {i: (f"{p:016x}", ids[g]) for i, p, g in zip(ids, prints, linked(prints, 4))}  # of ascending ids, the first reached is the smallest
+    assert {i: (r.fingerprint, r.component_id) for i, r in result(spark, folder, "op13_simhash_trees").items()} == want
