@@ -26,10 +26,29 @@ def brute(text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab \n\t\x0b\x1cé|#😀", max_size=80))
 def test_base_counts_equal_brute_force(text):
-    assert q.statistics(text)[:5] == brute(text)
+    assert q.statistics([text, "between", text])[:, :5].tolist() == [brute(text), [1, 7, 0, 0, 0], brute(text)]
     assert words(text) == re.findall(r"[^\x20\x09-\x0D]+", text)
 
 
+def features(text):
+    """The features by the words of their names, one text at a time."""
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars, symbols, dup, repeat = brute(text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    per, letters = 1 / max(n, 1), max(chars, 1)
+    return [
+        np.log1p(n), chars * per, symbols * per, dup / max(len(lines), 1), repeat * per, sum(a == b for a, b in zip(w, w[1:])) * per, sum(c.isupper() for c in text) / letters,
+        sum(c in "0123456789" for c in text) / letters, text.count("!!") * per, len(set(w)) * per, sum(c in ".,;:?" for c in text) * per, n / max(len(lines), 1),
+    ]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB \n\t!?.7É|é😀Ⅷ", max_size=60)), max_size=5))
+def test_features_equal_brute_force(texts):
+    assert np.allclose(q.statistics(texts), np.array([[*brute(t), *features(t)] for t in texts], dtype=float).reshape(len(texts), 17), rtol=1e-12, atol=0)
+
+
 def test_trees_keep_signs_and_learn():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 3))

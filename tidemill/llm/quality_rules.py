@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACES, words, written
+from tidemill.llm.common import MIX_A, SPACES, mixed, slices, word_column, written
 from tidemill.llm.samples import chosen_labels, labelled
 
 SYMBOLS = "#*$%&|<>"  # fixed value
@@ -26,48 +29,77 @@ FEATURES = {
 }
 
 
-def repeated_words(ws: list[str], width: int = 5) -> int:
-    """Words that lie in a window of `width` words found twice or more, the first find included."""
-    if len(ws) <= width:
-        return 0
-    seen: dict[str, int] = {}
-    ids = np.array([seen.setdefault(w, len(seen)) for w in ws], dtype=np.uint64)
-    h = np.zeros(len(ids) - width + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            x = ids[k : k + len(h)] + np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(32)
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """For each code point, a bit for each kind of character that is counted: symbols, capitals, digits, marks, exclamation marks."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    out[[c for c in range(0x110000) if chr(c).isupper()]] = 2
+    for bit, characters in ((1, SYMBOLS), (4, "0123456789"), (8, ".,;:?"), (16, "!")):
+        out[[ord(c) for c in characters]] |= bit
+    return out
+
+
+def repeated_words(at: np.ndarray, text: np.ndarray, texts: int, width: int = 5) -> np.ndarray:
+    """Of each text, words that lie in a window of `width` words found twice or more in it, the first find included."""
+    n = max(len(at) - width + 1, 0)
+    windows = np.flatnonzero(text[:n] == text[width - 1 : width - 1 + n])
+    h = text[windows].astype(np.uint64)
+    for k in range(width):
+        with np.errstate(over="ignore"):
+            h = mixed(h * MIX_A + at[windows + k].astype(np.uint64) + np.uint64(1))
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     twice = np.zeros(len(h), dtype=bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
-    edges = np.zeros(len(ws) + 1, dtype=np.int64)
-    edges[: len(h)] += twice
-    edges[width : width + len(h)] -= twice
-    return int((np.cumsum(edges) > 0).sum())
-
-
-def statistics(text: str | None) -> list[float]:
-    """The base counts and then the features of one text."""
-    text = text or ""
-    ws = words(text)
-    n = len(ws)
-    lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    n_symbols = sum(map(text.count, SYMBOLS))
-    n_dup, n_repeat, chars = len(lines) - len(set(lines)), repeated_words(ws), sum(map(len, ws))
-    per = 1 / max(n, 1)
-    letters = sum(map(str.isupper, text)) / max(chars, 1)
-    return [
+    edges = np.bincount(windows[twice], minlength=len(at) + 1) - np.bincount(windows[twice] + width, minlength=len(at) + 1)
+    return np.bincount(text[np.cumsum(edges)[: len(at)] > 0], minlength=texts)
+
+
+def _distinct(text: np.ndarray, code: np.ndarray, texts: int) -> np.ndarray:
+    """How many distinct codes each text has."""
+    base = int(code.max()) + 1 if len(code) else 1
+    both = np.sort(text * base + code)
+    return np.bincount(both[np.diff(both, prepend=-1) != 0] // base, minlength=texts)
+
+
+def statistics(texts: list[str | None]) -> np.ndarray:
+    """The base counts and then the features, a row for each text; all texts of a slice are counted at once."""
+    texts = [t or "" for t in texts]
+    size = len(texts)
+    distinct, at, n = word_column(texts)
+    text = np.repeat(np.arange(size), n)
+    chars = np.bincount(text, pc.utf8_length(distinct).to_numpy(zero_copy_only=False)[at], size)
+    kinds = _kinds()[np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")]
+    place = np.flatnonzero(kinds)  # few characters are of any kind
+    kinds, owner = kinds[place], np.searchsorted(np.cumsum([len(t) for t in texts]), place, side="right")
+    n_symbols, capitals, digits, marks = (np.bincount(owner[kinds & bit > 0], minlength=size) for bit in (1, 2, 4, 8))
+    bang = kinds & 16 > 0
+    place, owner = place[bang], owner[bang]
+    starts = np.flatnonzero((np.diff(place, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
+    shouts = np.bincount(owner[starts], np.diff(np.append(starts, len(place))) // 2, size)
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+    coded = lists.flatten().dictionary_encode()
+    full = pc.binary_length(pc.utf8_trim(coded.dictionary, characters=SPACES)).to_numpy(zero_copy_only=False) > 0
+    line = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    line_text = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy()))[full[line]]
+    line = line[full[line]]
+    lines = np.bincount(line_text, minlength=size)
+    n_dup, n_repeat = lines - _distinct(line_text, line, size), repeated_words(at, text, size)
+    same = np.bincount(text[1:][(at[1:] == at[:-1]) & (text[1:] == text[:-1])], minlength=size)
+    per, per_char, per_line = 1 / np.maximum(n, 1), np.maximum(chars, 1), np.maximum(lines, 1)
+    columns = [
         n, chars, n_symbols, n_dup, n_repeat,
-        np.log1p(n), chars * per, n_symbols * per, n_dup / max(len(lines), 1), n_repeat * per, sum(map(str.__eq__, ws, ws[1:])) * per,
-        letters, sum(map(text.count, "0123456789")) / max(chars, 1), text.count("!!") * per, len(set(ws)) * per, sum(map(text.count, ".,;:?")) * per, n / max(len(lines), 1),
+        np.log1p(n), chars * per, n_symbols * per, n_dup / per_line, n_repeat * per, same * per,
+        capitals / per_char, digits / per_char, shouts * per, _distinct(text, at, size) * per, marks * per, n / per_line,
     ]
+    return np.array(columns, dtype=float).T
 
 
 def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = np.array([statistics(t if isinstance(t, str) else None) for t in frame["text"]], dtype=float).reshape(len(frame), -1)
+        texts = [t if isinstance(t, str) else None for t in frame["text"]]
+        parts = [statistics(texts[a:b]) for a, b in slices(texts, 1_000_000)]
+        rows = np.concatenate(parts) if parts else np.zeros((0, len(BASE) + len(FEATURES)))
         out = pd.DataFrame(rows, columns=[*BASE, *FEATURES])
         yield out.astype(dict.fromkeys(BASE, "int64")).assign(doc_id=frame["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
 
