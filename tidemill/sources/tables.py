@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet to the shared folder and read again: cuts the lineage and outlives executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def through(df: DataFrame, kind: str, **options: str) -> DataFrame:
     """The rows, written in a format and read again with the same schema: never inferred, so nothing is read twice."""
     path = shared_folder(df.sparkSession, kind)
