@@ -151,14 +151,13 @@ class Lattices:
 
     Nodes and edges of all segments lie one after the other, and `places` adds those of segments that are new. An edge
     has its source, its piece (or, below 0, -2 less the character that no piece holds), its log probability among the
-    edges that end where it does, the running sum of theirs, and the probability of all others of them, summed without
-    differences: what a path leaves to all other paths is known to full precision, however little it is.
+    edges that end where it does, and the running sum of theirs. A segment has whether it is `single`, of one path alone.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known = vocabulary, pa.array([], pa.large_string())
         self.room: dict[str, np.ndarray] = {}
-        for name, kind in (("first", "i4"), ("last", "i4"), ("source", "i4"), ("head", "i4"), ("tail", "i4"), ("piece", "i4"), ("log", "f8"), ("ladder", "f8"), ("others", "f8")):
+        for name, kind in (("first", "i4"), ("last", "i4"), ("source", "i4"), ("head", "i4"), ("tail", "i4"), ("piece", "i4"), ("log", "f8"), ("ladder", "f8"), ("single", "?")):
             self._append(name, np.zeros(0, dtype=kind))
 
     def _append(self, name: str, new: np.ndarray) -> None:
@@ -215,25 +214,15 @@ class Lattices:
         run = np.cumsum(share)
         ladder = run - np.repeat(run[heads] - share[heads], np.diff(bounds))
         ladder[bounds[1:] - 1] = 1.0  # the last edge of a node takes what rounding leaves
-        if len(heads):
-            n = np.diff(bounds)
-            most = np.repeat(np.maximum.reduceat(share, heads), n)
-            first_most = np.zeros(len(share), dtype=bool)
-            tops = np.flatnonzero(share == most)
-            first_most[tops[np.diff(np.repeat(heads, n)[tops], prepend=-1) != 0]] = True
-            others = np.repeat(np.add.reduceat(np.where(first_most, 0.0, share), heads), n)
-            others = np.where(first_most, others, others - share + most)
-        else:
-            others = share
         head, tail = np.full(len(total), -1), np.full(len(total), -1)  # the edges that end in a node
         head[target[heads]], tail[target[heads]] = heads, bounds[1:]
         nodes, edges = len(self.head), len(self.source)
-        for name, new in (("first", first + nodes), ("last", first + size + nodes), ("source", source + nodes), ("head", head + edges), ("tail", tail + edges), ("piece", piece), ("log", log), ("ladder", ladder), ("others", others)):
+        for name, new in (("first", first + nodes), ("last", first + size + nodes), ("source", source + nodes), ("head", head + edges), ("tail", tail + edges), ("piece", piece), ("log", log), ("ladder", ladder), ("single", np.bincount(segment[start], minlength=len(size)) == size)):
             self._append(name, new)
 
     def draw(self, which: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """One path for each segment number: edges of all paths (segment after segment, in order), edges of each, log p, and the probability of all other paths."""
-        node, log, rest = self.last[which], np.zeros(len(which)), np.zeros(len(which))
+        node, log = self.last[which], np.zeros(len(which))
         active, step, taken = np.arange(len(which)), 0, []
         while len(active):
             u = uniform(key[active], counter[active] * np.uint64(1 << 20) + np.uint64(step))
@@ -243,7 +232,6 @@ class Lattices:
                 edge[on] += 1
                 on = on[self.ladder[edge[on]] < u[on]]
             taken.append((active, edge))
-            rest[active] += np.exp(log[active]) * self.others[edge]
             log[active] += self.log[edge]
             node[active] = self.source[edge]
             active = active[node[active] > self.first[which[active]]]
@@ -253,7 +241,11 @@ class Lattices:
         owner, edge = owner[order], edge[order]
         n = np.bincount(owner, minlength=len(which))
         ends = np.cumsum(n)
-        return edge[np.repeat(ends - 1, n) - (np.arange(len(edge)) - np.repeat(ends - n, n))], n, log, rest
+        edge = edge[np.repeat(ends - 1, n) - (np.arange(len(edge)) - np.repeat(ends - n, n))]
+        rest = np.where(self.single[which], 0.0, -np.expm1(log))
+        for x in np.flatnonzero((rest < 1e-6) & ~self.single[which]).tolist():  # a difference would have lost its digits
+            rest[x] = self.left_by(int(which[x]), [edge[ends[x] - n[x] : ends[x]].tobytes()])
+        return edge, n, log, rest
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids along the edges, bytes for what no piece holds, and how many each edge gives."""
@@ -285,10 +277,6 @@ class Lattices:
                 elif step == len(path):
                     left[step, own] = 0.0
             for own, edges in taken.items():
-                if len(edges) == 1:
-                    ((edge, below),) = edges.items()
-                    left[step, own] = float(self.others[edge] + np.exp(self.log[edge]) * below)
-                    continue
                 node = self.last[segment] if step == 0 else self.source[next(path[step - 1] for path, g in zip(paths, groups[step]) if g == own)]
                 share = np.exp(self.log[self.head[node] : self.tail[node]])
                 for edge, below in edges.items():
