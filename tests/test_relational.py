@@ -73,3 +73,28 @@ def test_late_rows_are_dropped_and_open_days_count(spark, tmp_path):
     df = late_dropped(spark, str(tmp_path))
     same(df, str(tmp_path), ORACLES["stream_late"])
     assert sorted((str(r.start)[:10], r.n) for r in df.collect()) == [("2024-01-01", 1), ("2024-01-02", 1), ("2024-01-03", 2)]
+
+
+def tables(folder, **rows):
+    """Parquet tables of plain rows (SQL of DuckDB) in a folder."""
+    import duckdb
+
+    folder.mkdir(exist_ok=True)
+    for name, sql in rows.items():
+        duckdb.sql(f"COPY ({sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def test_not_in_broadcasts_no_list(spark, tmp_path):
+    """The keys go by shuffle where they are many; nulls on either side and an empty list count as SQL says."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["join_not_in"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "HashedRelationBroadcastMode" not in plan and "BroadcastHashJoin" not in plan
+    orders = "SELECT unnest([1, 2, 2, 3, NULL])::BIGINT AS o_orderkey"
+    for i, keys in enumerate(("[2, 2, 9]", "[2, NULL]", "[]", "[NULL]")):
+        folder = tables(tmp_path / str(i), orders=orders, lineitem=f"SELECT unnest({keys}::BIGINT[]) AS l_orderkey")
+        same(QUERIES["join_not_in"](spark, folder), folder, ORACLES["join_not_in"])
