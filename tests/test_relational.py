@@ -98,3 +98,13 @@ def test_not_in_broadcasts_no_list(spark, tmp_path):
     for i, keys in enumerate(("[2, 2, 9]", "[2, NULL]", "[]", "[NULL]")):
         folder = tables(tmp_path / str(i), orders=orders, lineitem=f"SELECT unnest({keys}::BIGINT[]) AS l_orderkey")
         same(QUERIES["join_not_in"](spark, folder), folder, ORACLES["join_not_in"])
+
+
+def test_lateral_numbers_rows_in_order(spark, tmp_path):
+    """The order is the window's own, not left to a sort before a shuffle; nulls come last in both columns."""
+    plan = QUERIES["lateral"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    specs = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
+    assert specs and all("o_totalprice" in line and "DESC NULLS LAST" in line for line in specs)
+    orders = "SELECT (CASE WHEN i % 3 = 0 THEN NULL ELSE i END)::BIGINT AS o_orderkey, (i % 11)::BIGINT AS o_custkey, (CASE WHEN i % 5 < 3 THEN 7.5 WHEN i % 5 = 4 THEN i END)::DOUBLE AS o_totalprice FROM range(700) t(i)"
+    folder = tables(tmp_path / "x", customer="SELECT unnest([0, 1, 1, 5, 40, NULL])::BIGINT AS c_custkey", orders=orders)
+    same(QUERIES["lateral"](spark, folder), folder, ORACLES["lateral"])
