@@ -108,3 +108,14 @@ def test_lateral_numbers_rows_in_order(spark, tmp_path):
     orders = "SELECT (CASE WHEN i % 3 = 0 THEN NULL ELSE i END)::BIGINT AS o_orderkey, (i % 11)::BIGINT AS o_custkey, (CASE WHEN i % 5 < 3 THEN 7.5 WHEN i % 5 = 4 THEN i END)::DOUBLE AS o_totalprice FROM range(700) t(i)"
     folder = tables(tmp_path / "x", customer="SELECT unnest([0, 1, 1, 5, 40, NULL])::BIGINT AS c_custkey", orders=orders)
     same(QUERIES["lateral"](spark, folder), folder, ORACLES["lateral"])
+
+
+def test_lines_are_counted_before_they_are_joined(spark, tmp_path):
+    """No join has the rows of lineitem on a side: what meets the numbers are partial counts, made final."""
+    plan = QUERIES["recursive_cte"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
+    scan = next(i for i, line in enumerate(lines) if "Relation" in line and "l_linenumber" in line)
+    assert any("Aggregate" in line and "l_linenumber" in line for line in lines[join + 1 : scan])
+    folder = tables(tmp_path / "x", lineitem="SELECT unnest([1, 1, 3, 9, NULL])::INTEGER AS l_linenumber")
+    same(QUERIES["recursive_cte"](spark, folder), folder, ORACLES["recursive_cte"])
