@@ -119,3 +119,18 @@ def test_lines_are_counted_before_they_are_joined(spark, tmp_path):
     assert any("Aggregate" in line and "l_linenumber" in line for line in lines[join + 1 : scan])
     folder = tables(tmp_path / "x", lineitem="SELECT unnest([1, 1, 3, 9, NULL])::INTEGER AS l_linenumber")
     same(QUERIES["recursive_cte"](spark, folder), folder, ORACLES["recursive_cte"])
+
+
+def test_cogroup_meets_many_users_at_once(spark, tmp_path, monkeypatch):
+    """Groups are parts of the users, not users; users on one side, a null user and ids beyond 2**53 keep their counts."""
+    from tidemill.plans import relational
+
+    plan = QUERIES["cogroup_pandas"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas [part" in plan
+    events = "SELECT (CASE WHEN i % 7 = 0 THEN NULL WHEN i % 7 = 1 THEN 9007199254740993 WHEN i % 7 = 2 THEN 0 ELSE i END)::BIGINT AS user_id, (CASE i % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END) AS event_type FROM range(200) t(i)"
+    folder = tables(tmp_path / "x", events=events)
+    one = tables(tmp_path / "y", events="SELECT 5::BIGINT AS user_id, 'click' AS event_type")
+    for users in (4_096, 20, 1):
+        monkeypatch.setattr(relational, "USERS", users)
+        same(QUERIES["cogroup_pandas"](spark, folder), folder, ORACLES["cogroup_pandas"])
+        same(QUERIES["cogroup_pandas"](spark, one), one, ORACLES["cogroup_pandas"])
