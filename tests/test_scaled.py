@@ -315,6 +315,20 @@ def test_timers_stop_and_go_on(spark, tmp_path):
     assert sorted((r.user_id, r.start - day, r.end - day, r.n) for r in got) == [(1, 0, 16 * hour, 3), (2, hour, 7 * hour, 1)]
 
 
+def test_a_key_has_one_timer(spark, tmp_path):
+    """A user of many sessions costs one timer a run, not one for each; sessions that end at the very watermark are over, in company or alone."""
+    day, hour, mark = 1_700_006_400, 3_600, 1_700_006_400 + 1_000 * 3_600
+    at = [(u, day + 10 * hour * i) for u in (1, 2) for i in range(30)] + [(2, mark - 6 * hour), (3, mark - 6 * hour), (4, mark - 6 * hour + 1), (5, mark + 600)]
+    events = spark.createDataFrame([(i, u, s) for i, (u, s) in enumerate(at)], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+    events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    same(QUERIES["stream_timers"](spark, str(tmp_path)), str(tmp_path), ORACLES["stream_timers"])
+    source, path, state = (f"file://{tmp_path}/{x}" for x in ("source", "out", "state"))
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
+    reports = timed_sessions(spark, source, path, state)
+    timers = [o["customMetrics"] for p in reports for o in p["stateOperators"]]
+    assert sum(m["numRegisteredTimers"] for m in timers) <= 5 + 2
+
+
 def test_outer_join_frees_its_state(spark):
     progress = []
     found = clicks_with_purchases(spark, SF, progress)
