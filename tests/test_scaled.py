@@ -82,6 +82,29 @@ def test_index_of_all_cells_is_exact(spark, monkeypatch):
     assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in found} == nearest(rows, lambda i: i % 10 == 0, 4)
 
 
+def test_scores_held_at_once_are_few(spark, monkeypatch):
+    """Whatever the questions, rows and centres, a task scores them in pieces; the pieces change nothing."""
+    rows, sizes = made_vectors(), []
+    monkeypatch.setattr(vectors, "HELD", 3_000)
+    rng = np.random.default_rng(3)
+    points, centres = rng.normal(size=(500, 6)), rng.normal(size=(70, 6))
+    cell, near = vectors._nearest(points, centres)
+    full = ((points[:, None, :] - centres) ** 2).sum(axis=2)
+    assert (cell == full.argmin(axis=1)).all() and np.allclose(near, full.min(axis=1))
+    best = vectors._best
+    monkeypatch.setattr(vectors, "_best", lambda score, ids, k: sizes.append(score.size) or best(score, ids, k))
+    batch = vectors.pa.table({"vec_id": list(range(500)), "vector": points.tolist()})
+    asks = vectors.pa.table({"question": [str(i) for i in range(70)], "asked": centres.tolist()})
+    found = vectors._piece(4)(("x",), asks, batch)
+    assert found.num_rows == 70 * 5 and max(sizes) <= 3_000
+    sent = type("Sent", (), {"value": centres})
+    probed = list(vectors._probing(sent, 9)(iter([vectors.pa.RecordBatch.from_arrays([vectors.pa.array([str(i) for i in range(500)]), vectors.pa.array(points.tolist())], names=["key", "vector"])])))
+    assert sum(b.num_rows for b in probed) == 500 * 9 and max(b.num_rows for b in probed) * 70 <= 9 * 3_000
+    for found in (exact_neighbours, lambda t, a, k: index_neighbours(t, a, k=k, probes=1_000, per_cell=20)):
+        got = found(table_of(spark, rows), F.col("vec_id") % 10 == 0, k=4).collect()
+        assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in got} == nearest(rows, lambda i: i % 10 == 0, 4)
+
+
 def test_cells_that_are_full_are_fitted_again(spark):
     """A third of all vectors lie so close that they start in one cell."""
     rng = np.random.default_rng(6)

@@ -24,6 +24,8 @@ PER_CELL, HOT = 256, 4
 TRIALS = 128
 #: Vectors and questions of one piece of a cell.
 PIECE = 8_192
+#: Scores or distances that a task holds at once (eight bytes each, a few times over).
+HELD = 1 << 20
 FOUND = "question string, vec_id long, score double"
 
 
@@ -81,16 +83,19 @@ def _scan(index: DataFrame, block: list, k: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, wanted = sent.value
-        best_score, best_id = np.zeros((len(keys), 0)), np.zeros((len(keys), 0), dtype=np.int64)
+        step = max(HELD // 4_096, 1)
+        best = [(np.zeros((len(keys[lo : lo + step]), 0)), np.zeros((len(keys[lo : lo + step]), 0), dtype=np.int64)) for lo in range(0, len(keys), step)]
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for start in range(0, len(ids), 1_024):
-                new = ids[start : start + 1_024]
-                score = np.concatenate([best_score, np.round(wanted @ _matrix(batch.column(1)[start : start + 1_024]).T, 6)], axis=1)
-                all_ids = np.concatenate([best_id, np.broadcast_to(new, (len(keys), len(new)))], axis=1)
-                at = _best(score, all_ids, k + 1)
-                best_score, best_id = np.take_along_axis(score, at, axis=1), np.take_along_axis(all_ids, at, axis=1)
-        yield _found(keys, best_id, best_score)
+                new, rows = ids[start : start + 1_024], _matrix(batch.column(1)[start : start + 1_024]).T
+                for part, (best_score, best_id) in enumerate(best):  # some questions at a time, so scores stay small
+                    score = np.concatenate([best_score, np.round(wanted[part * step : (part + 1) * step] @ rows, 6)], axis=1)
+                    all_ids = np.concatenate([best_id, np.broadcast_to(new, (len(best_id), len(new)))], axis=1)
+                    at = _best(score, all_ids, k + 1)
+                    best[part] = np.take_along_axis(score, at, axis=1), np.take_along_axis(all_ids, at, axis=1)
+        for part, (best_score, best_id) in enumerate(best):
+            yield _found(keys[part * step : (part + 1) * step], best_id, best_score)
 
     return index.select("vec_id", "vector").mapInArrow(of, FOUND)
 
@@ -134,9 +139,12 @@ def fitted(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> n
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each row by Euclid, and the distance (squared, without the row's own norm)."""
-    distance = (centres**2).sum(axis=1) - 2 * rows @ centres.T
-    cell = distance.argmin(axis=1)
-    return cell, distance[np.arange(len(rows)), cell] + (rows**2).sum(axis=1)
+    cell, near, norms, step = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows)), (centres**2).sum(axis=1), max(HELD // max(len(centres), 1), 1)
+    for lo in range(0, len(rows), step):  # so many rows at a time that the distances to all centres stay few
+        distance = norms - 2 * rows[lo : lo + step] @ centres.T
+        own = cell[lo : lo + step] = distance.argmin(axis=1)
+        near[lo : lo + step] = distance[np.arange(len(own)), own]
+    return cell, near + (rows**2).sum(axis=1)
 
 
 def _assigned(rows: DataFrame, sent: Broadcast) -> DataFrame:
@@ -181,15 +189,16 @@ def inverted_file(index: DataFrame, n: int, sample: int = SAMPLE, per_cell: int
 
 def _probing(sent: Broadcast, probes: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            centres = sent.value
-            n = min(probes, len(centres))
-            distance = (centres**2).sum(axis=1) - 2 * _matrix(batch.column(1)) @ centres.T
-            near = np.argpartition(distance, n - 1, axis=1)[:, :n] if n < len(centres) else np.broadcast_to(np.arange(len(centres)), distance.shape)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["question", "asked", "cell"])
+        centres = sent.value
+        n = min(probes, len(centres))
+        for whole in batches:
+            step = max(min(HELD // len(centres), HELD // 16 // n), 1)  # each row's vector goes out n times
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                distance = (centres**2).sum(axis=1) - 2 * _matrix(batch.column(1)) @ centres.T
+                near = np.argpartition(distance, n - 1, axis=1)[:, :n] if n < len(centres) else np.broadcast_to(np.arange(len(centres)), distance.shape)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["question", "asked", "cell"])
 
     return of
 
@@ -200,11 +209,11 @@ def _piece(k: int):
             return pa.table({"question": pa.array([], pa.string()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, vectors = rows.column("vec_id").to_numpy(), _matrix(rows.column("vector").combine_chunks())
         keys, wanted = questions.column("question").to_pylist(), _matrix(questions.column("asked").combine_chunks())
-        out = []
-        for start in range(0, len(keys), 1_024):
-            score = np.round(wanted[start : start + 1_024] @ vectors.T, 6)
+        out, step = [], max(HELD // len(ids), 1)
+        for start in range(0, len(keys), step):
+            score = np.round(wanted[start : start + step] @ vectors.T, 6)
             at = _best(score, ids, k + 1)
-            out.append(_found(keys[start : start + 1_024], ids[at], np.take_along_axis(score, at, axis=1)))
+            out.append(_found(keys[start : start + step], ids[at], np.take_along_axis(score, at, axis=1)))
         return pa.Table.from_batches(out)
 
     return of
