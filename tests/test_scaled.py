@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import same
+from tidemill.operators import near_duplicates as near_duplicates_module
 from tidemill.operators import order_statistics, vectors
 from tidemill.functions.tables import Runs
 from tidemill.operators.joins import small_or_merge
@@ -157,6 +158,28 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(got[rows[i][0]] == rows[i][0] for i in range(len(rows)) if i not in linked)
 
 
+@pytest.mark.parametrize("held", [1 << 19, 5])
+def test_signatures_take_no_row_for_each_hash(spark, monkeypatch, held):
+    """Minima are taken set by set, whatever a task holds at once; the plan neither explodes nor shuffles."""
+    monkeypatch.setattr(near_duplicates_module, "HELD", held)
+    rng = random.Random(4)
+    sets = [(i, sorted(rng.randrange(1 << 60) for _ in range(n))) for i, n in enumerate((1, 2, 40, 3, 1, 7))]
+    found = near_duplicates_module.signatures(spark.createDataFrame([*sets, (9, [])], "set_id long, hashes array<long>").coalesce(1))
+    assert "Generate" not in plan(found) and "Exchange" not in plan(found)
+    assert {r.set_id: r.minima for r in found.collect()} == {i: [min(h ^ m for h in hashes) for m in near_duplicates_module.masks()] for i, hashes in sets}
+
+
+@pytest.mark.parametrize("held", [1 << 19, 3])
+def test_hashed_shingles_are_those_of_the_columns(spark, monkeypatch, held):
+    nd = near_duplicates_module
+    monkeypatch.setattr(nd, "HELD", held)
+    texts = [None, "", " \n", "A b\tC\x0bd", "one two one two one two one two", "\u00c9t\u00e9 \u00a0 x\x1cy z \U0001f600 q\x85r", "a b c d e\x0c\rf  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = docs.select("doc_id", nd.words(F.col("text")).alias("ws"))
+    want = split.select("doc_id", F.sort_array(F.transform(nd.shingles(F.col("ws"), 3), nd.md5_number)).alias("hashes"))
+    assert sorted(map(str, nd.hashed_shingles(docs, 3).collect())) == sorted(map(str, want.collect()))
+
+
 def test_a_shared_bucket_gives_stars(spark):
     """Near copies as a third of the rows: links grow as the rows, not as their pairs."""
     rng = random.Random(7)
